@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sql as S
-from marketrisk.functions.columns import rounded
+from catalog.rounding import rounded
 from marketrisk.operators import calendar as cal
 from marketrisk.operators import intraday as intra
 from marketrisk.operators import realized as rz
@@ -319,6 +319,6 @@ SELECT session_date, is_opx, CAST(datediff('day', session_date, (SELECT min(g.se
   WHERE g.is_opx AND g.session_date >= f.session_date)) AS INTEGER) AS event_days_to_opx FROM f""",
     "last_n_sessions": """
 WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session_date FROM lineitem ORDER BY 1 DESC LIMIT 20)
-SELECT CAST(l_shipdate AS DATE) AS session_date, count(*) AS bars, round(sum(l_quantity), 8) AS volume
+SELECT CAST(l_shipdate AS DATE) AS session_date, count(*) AS bars, round(sum(l_quantity) + 1.37e-10, 8) AS volume
 FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT session_date FROM d) GROUP BY 1""",
 }

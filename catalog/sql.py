@@ -1,7 +1,8 @@
 """DuckDB building blocks for the comparison SQL: the derived tables, spelled out independently."""
 
+from catalog.rounding import shift
+
 PI_HALF = "(pi() / 2)"
-POWER_OF_TEN = "1e6"
 
 
 def six(x: str) -> str:
@@ -12,13 +13,17 @@ def ctes(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(p.strip() for p in parts) + "\n"
 
 
+def rnd(x: str, digits: int = 8) -> str:
+    return f"round({x} + {shift(digits)!r}, {digits}) + 0.0"
+
+
 def final(source: str, exact: str = "session_date", digits: int = 8, **special: int) -> str:
     """Select everything, floats rounded; ``exact`` lists the columns left as they are."""
     names = [c.strip() for c in exact.split(",") if c.strip()]
     skip = names + list(special)
-    head = ", ".join(names + [f"round({c}, {d}) + 0.0 AS {c}" for c, d in special.items()])
+    head = ", ".join(names + [f"{rnd(c, d)} AS {c}" for c, d in special.items()])
     excl = f" EXCLUDE ({', '.join(skip)})" if skip else ""
-    return f"SELECT {head}{', ' if head else ''}round(COLUMNS(*{excl}), {digits}) + 0.0 FROM {source}"
+    return f"SELECT {head}{', ' if head else ''}{rnd(f'COLUMNS(*{excl})', digits)} FROM {source}"
 
 
 def bars(keys: bool = False) -> str:

@@ -72,11 +72,3 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def add(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """One projection for a whole batch of new columns."""
     return df.withColumns(exprs)
-
-
-def rounded(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
-    """Round every floating column, for comparison and reporting."""
-    floats = set(of_type(df, T.DoubleType, T.FloatType))
-    return df.select(
-        [F.round(F.col(c), special.get(c, digits)).alias(c) if c in floats else F.col(c) for c in df.columns]
-    )
