@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = [
     "sessions_and_measures",
     "minute_families",
+    "daily_families",
 ]
 
 

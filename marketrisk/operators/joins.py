@@ -32,24 +32,27 @@ def as_of_left(
     right_time: str,
     values: Sequence[str],
     keys: Sequence[str] = (),
+    tie_break: str | None = None,
 ) -> DataFrame:
     """For each left row the last right values with right_time <= left_time.
 
-    Union of both sides and one ordered window; meant for daily (or sparser) tables, whose
-    partitions grow with history length only.
+    Of several right rows with one time, the largest ``tie_break`` counts.  Union of both sides
+    and one ordered window; meant for daily (or sparser) tables, whose partitions grow with
+    history length only.
     """
     keys = list(keys)
     as_events = right.select(
         *keys,
         F.col(right_time).alias("_at"),
         F.lit(0).alias("_side"),
+        F.col(tie_break or right_time).alias("_tie"),
         F.struct(*values).alias("_known"),
     )
     rows = left.withColumn("_row", F.struct(*left.columns)).select(
         *keys, F.col(left_time).alias("_at"), F.lit(1).alias("_side"), "_row"
     )
     both = as_events.unionByName(rows, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_last", F.last("_known", ignorenulls=True).over(upto)).filter(F.col("_side") == 1)
     return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 

@@ -125,11 +125,23 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly level from orders, stamped with the first day of the month."""
+    """Two monthly levels from orders, stamped with the first day of the month."""
     return (
         table(spark, sf_dir, "orders")
-        .groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"))
-        .agg(F.round(F.avg("o_totalprice") / 1000, 6).alias("level"))
+        .groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
+        .agg(
+            six(F.avg("o_totalprice") / 1000).alias("umcsi"),
+            six(F.max("o_totalprice") / 1000).alias("us_policy_uncertainty"),
+        )
+    )
+
+
+def macro_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One daily level from orders."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderdate").cast("date").alias("day"))
+        .agg(six(F.avg("o_totalprice") / 12000).alias("cboe_VIXCLS"))
     )
 
 
