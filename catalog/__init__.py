@@ -6,6 +6,8 @@ MODULES = [
     "sessions_and_measures",
     "minute_families",
     "daily_families",
+    "labels_and_folds",
+    "evaluation",
 ]
 
 
