@@ -8,6 +8,7 @@ MODULES = [
     "daily_families",
     "labels_and_folds",
     "evaluation",
+    "source_checks",
 ]
 
 
