@@ -200,30 +200,14 @@ def exact_quantiles(
     )
 
 
-def session_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    wanted: dict[str, tuple[str, float]],
-    size: str | None,
-    aggs: Sequence[Column] = (),
+def with_session_quantiles(
+    daily: DataFrame, rows: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]]
 ) -> DataFrame:
-    """Aggregate by group with exact quantiles, whatever the group sizes.
-
-    Without ``size`` (a column with the group's row count) groups are bounded by the data
-    model, one row per minute, and ``percentile`` does everything in one aggregation.
-    With it, groups above SKETCH_ACCURACY rows take their quantiles from
-    :func:`exact_quantiles`; all other aggregates still come from the one aggregation.
-    """
-    if size is None or not wanted:
-        exact = [F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
-        return df.groupBy(*group).agg(*aggs, *exact)
-    small = F.col(size) < SKETCH_ACCURACY
-    exact = [F.percentile(F.when(small, F.col(c)), F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
-    base = df.groupBy(*group).agg(*aggs, *exact)
-    large = exact_quantiles(df.filter(~small), group, wanted)
+    """Join :func:`exact_quantiles` of ``rows`` to a table that has them only for small groups."""
+    large = exact_quantiles(rows, group, wanted)
     large = large.select(*group, *[F.col(n).alias(f"_large_{n}") for n in wanted])
     return (
-        base.join(large, list(group), "left")
+        daily.join(large, list(group), "left")
         .withColumns({n: F.coalesce(F.col(n), F.col(f"_large_{n}")) for n in wanted})
         .drop(*[f"_large_{n}" for n in wanted])
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, yes
-from marketrisk.functions.frames import rolling_mean, rolling_std, so_far
+from marketrisk.functions.frames import so_far, with_running_frames
 from marketrisk.functions.ordered import exact_quantiles, running_totals
 from marketrisk.series import Series
 
@@ -22,16 +22,16 @@ def with_minute_returns(
 
 def with_return_stats(df: DataFrame, series: Series, ret: str = "minute_return") -> DataFrame:
     """Squared, absolute and signed return plus 30-minute mean and deviation."""
-    r, w = F.col(ret), series.minutes()
-    return df.withColumns(
+    r = F.col(ret)
+    out = df.withColumns(
         {
             f"{ret}_sq": r * r,
             f"{ret}_abs": F.abs(r),
             f"{ret}_sign": F.when(r > 0, 1).when(r < 0, -1).otherwise(0),
-            f"{ret}_ma30": rolling_mean(r, w, 30, 10),
-            f"{ret}_std30": rolling_std(r, w, 30, 10),
         }
     )
+    wanted = {f"{ret}_ma30": ("mean", ret, 30, 10), f"{ret}_std30": ("std", ret, 30, 10)}
+    return with_running_frames(out, series.minutes(), wanted)
 
 
 def with_cumulative_return(

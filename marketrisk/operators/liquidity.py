@@ -15,8 +15,8 @@ from marketrisk.functions.frames import (
     rolling_mean,
     rolling_quantile,
     rolling_slope,
-    rolling_std,
     so_far,
+    with_running_frames,
 )
 from marketrisk.series import Series, owned
 
@@ -28,16 +28,16 @@ def with_minute_liquidity(df: DataFrame, series: Series, ret: str = "minute_retu
     """Dollar volume, Amihud ratio, volume rate, trade intensity and a price-impact proxy."""
     volume, r = F.col("ohlcv_volume"), F.abs(F.col(ret))
     dollars = volume * F.col("ohlcv_vwap")
-    return df.withColumns(
+    out = df.withColumns(
         {
             "liq_dollar_volume": dollars,
             "liq_log_dollar_volume": ln(dollars + 1),
             "liq_amihud": div(r, dollars + 1),
             "liq_volume_rate": volume,
-            "liq_trade_intensity": rolling_std(volume, series.minutes(), 30, 10),
             "liq_kyle_lambda": div(r, root(volume) + 1),
         }
     )
+    return with_running_frames(out, series.minutes(), {"liq_trade_intensity": ("std", "ohlcv_volume", 30, 10)})
 
 
 def daily_aggs() -> list[Column]:

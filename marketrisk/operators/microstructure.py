@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, prefixed, total
-from marketrisk.functions.frames import carried, rolling_mean, rolling_std, rolling_sum
-from marketrisk.functions.ordered import session_quantiles
+from marketrisk.functions.frames import carried, rolling_mean, sorted_quantile, with_running_frames
+from marketrisk.functions.ordered import SKETCH_ACCURACY, with_session_quantiles
 from marketrisk.series import Series, owned
 
 LOOK_BACKS = (30, 60, 120)
@@ -49,12 +49,11 @@ def with_depth(df: DataFrame) -> DataFrame:
 
 
 def with_mid_dynamics(df: DataFrame, series: Series) -> DataFrame:
-    """Mid return, 30-minute mid deviation, price pressure and spread change."""
+    """Mid return, price pressure and spread change."""
     w, mid, rel = series.minutes(), F.col("iex_mid_price"), F.col("iex_spread_rel")
     return df.withColumns(
         {
             "iex_mid_return": div(mid, F.lag(mid).over(w)) - 1,
-            "iex_mid_vol_30m": rolling_std(mid, w, 30, 10),
             "iex_price_pressure": div(F.col("ohlcv_close") - mid, mid),
             "iex_spread_change": rel - F.lag(rel).over(w),
             "_mid_step": F.abs(mid - F.lag(mid).over(w)),
@@ -63,15 +62,18 @@ def with_mid_dynamics(df: DataFrame, series: Series) -> DataFrame:
 
 
 def with_rolling_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
-    """Rolling spread level and deviation, imbalance and quote intensity (at least a third of the window)."""
-    w, made = series.minutes(), {}
+    """30-minute mid deviation; rolling spread level and deviation, imbalance and quote intensity.
+
+    Windows need at least a third of their rows (ten of thirty for the mid deviation).
+    """
+    wanted = {"iex_mid_vol_30m": ("std", "iex_mid_price", 30, 10)}
     for n in look_backs:
         least = max(1, n // 3)
-        made[f"iex_spread_ma_{n}m"] = rolling_mean("iex_spread_rel", w, n, least)
-        made[f"iex_spread_vol_{n}m"] = rolling_std("iex_spread_rel", w, n, least)
-        made[f"iex_imbalance_ma_{n}m"] = rolling_mean("iex_depth_imbalance", w, n, least)
-        made[f"iex_quote_intensity_{n}m"] = rolling_sum("_mid_step", w, n, least)
-    return df.withColumns(made).drop("_mid_step")
+        wanted[f"iex_spread_ma_{n}m"] = ("mean", "iex_spread_rel", n, least)
+        wanted[f"iex_spread_vol_{n}m"] = ("std", "iex_spread_rel", n, least)
+        wanted[f"iex_imbalance_ma_{n}m"] = ("mean", "iex_depth_imbalance", n, least)
+        wanted[f"iex_quote_intensity_{n}m"] = ("sum", "_mid_step", n, least)
+    return with_running_frames(df, series.minutes(), wanted).drop("_mid_step")
 
 
 def minute_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
@@ -114,12 +116,26 @@ def extra_aggs(series: Series) -> list[Column]:
 def microstructure_daily(
     minutes: DataFrame, series: Series, size: str | None = None, look_backs: Sequence[int] = LOOK_BACKS
 ) -> DataFrame:
-    """One row per session.  ``size`` names the session-size column of a blocked table."""
+    """One row per session, in one aggregation.
+
+    A session of known minutes holds a few hundred rows, so its quantiles come from sorted
+    value arrays.  ``size`` names the session-size column of a blocked table, whose sessions
+    may be of any size: those above SKETCH_ACCURACY rows take the quantiles from a second,
+    fully distributed pass over just these sessions.
+    """
     if "is_last_hour" not in minutes.columns:
         minutes = minutes.withColumn("is_last_hour", F.lit(None).cast("boolean"))
     rows = owned(minute_quotes(minutes, series, look_backs), series)
     aggs, quantiles = daily_aggs(prefixed(rows, "iex_"))
-    return session_quantiles(rows, series.by_session, quantiles, size, aggs + extra_aggs(series))
+    small = F.lit(True) if size is None else F.col(size) < SKETCH_ACCURACY
+    values = {n: F.sort_array(F.collect_list(F.when(small, F.col(c)))).alias(n) for n, (c, _) in quantiles.items()}
+    daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *values.values())
+    daily = daily.withColumns({n: sorted_quantile(F.col(n), q) for n, (_, q) in quantiles.items()})
+    if size is None:
+        return daily
+    long_sessions = minutes.filter(F.col(size) >= SKETCH_ACCURACY)
+    long_rows = owned(minute_quotes(long_sessions, series, look_backs), series)
+    return with_session_quantiles(daily, long_rows, series.by_session, quantiles)
 
 
 def filled(daily: DataFrame, series: Series, how: str = "forward_fill") -> DataFrame:
