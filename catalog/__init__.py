@@ -9,6 +9,7 @@ MODULES = [
     "labels_and_folds",
     "evaluation",
     "source_checks",
+    "heads",
 ]
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marketrisk.series import HALO, Series
 
 BLOCK_ROWS = 65_536
+SALTS = 32
 SKETCH_ACCURACY = 20_000
 
 
@@ -119,8 +120,21 @@ def running_totals(
     )
 
 
+def join_per_group(
+    rows: DataFrame, table: DataFrame, group: Sequence[str], salt_by: str, salts: int = SALTS
+) -> DataFrame:
+    """Inner join of rows with a one-row-per-group table, a large group's rows spread over ``salts`` tasks.
+
+    The salt is a hash of ``salt_by``, so a recomputed task sees the same rows; the small side is
+    repeated once per salt.  Adaptive execution still broadcasts it when it turns out small.
+    """
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    return keyed.join(salted, [*group, "_salt"])
+
+
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]]
+    df: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]], salt_by: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group; ``wanted`` maps name to (column, level).
 
@@ -128,6 +142,9 @@ def exact_quantiles(
     misses a rank by at most ``1 / SKETCH_ACCURACY`` of the group).  The second pass clamps
     every value to that bracket and counts distinct clamped values, which combines on the map
     side; what is left to order is about ``4 / SKETCH_ACCURACY`` of the group.
+
+    Many groups need ``salt_by``, a column that differs between the rows of a group.  Without it
+    the groups must be a handful (folds, say): their edges are broadcast.
     """
     group = list(group)
     slack = 2.0 / SKETCH_ACCURACY
@@ -155,8 +172,12 @@ def exact_quantiles(
         *[edge(n, 0, q - slack <= 0) for n, (_, q) in wanted.items()],
         *[edge(n, 1, q + slack >= 1) for n, (_, q) in wanted.items()],
     )
-    # Without a group there is exactly one row of edges.
-    joined = df.join(edges, group) if group else df.crossJoin(F.broadcast(edges))
+    if not group:
+        joined = df.crossJoin(F.broadcast(edges))  # exactly one row of edges
+    elif salt_by is None:
+        joined = df.join(F.broadcast(edges), group)
+    else:
+        joined = join_per_group(df, edges, group, salt_by)
     clamped = [
         F.when(
             F.col(c).isNotNull(),
@@ -201,10 +222,10 @@ def exact_quantiles(
 
 
 def with_session_quantiles(
-    daily: DataFrame, rows: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]]
+    daily: DataFrame, rows: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]], salt_by: str
 ) -> DataFrame:
     """Join :func:`exact_quantiles` of ``rows`` to a table that has them only for small groups."""
-    large = exact_quantiles(rows, group, wanted)
+    large = exact_quantiles(rows, group, wanted, salt_by)
     large = large.select(*group, *[F.col(n).alias(f"_large_{n}") for n in wanted])
     return (
         daily.join(large, list(group), "left")

@@ -106,7 +106,7 @@ def group_folds(
 
 def assigned(rows: DataFrame, folds: DataFrame, date: str = "session_date") -> DataFrame:
     """Rows with their fold and role (a row appears once per fold that uses it)."""
-    return rows.join(folds.select(date, "fold", "role"), date)
+    return rows.join(F.broadcast(folds.select(date, "fold", "role")), date)  # dates x folds rows
 
 
 def refit_schedule(
@@ -141,7 +141,7 @@ def split_by_position(df: DataFrame, test_share: float = 0.2, date: str = "sessi
     dates = numbered_dates(df, date)
     cut = F.floor(F.col("n_dates") * F.lit(1 - test_share))
     roles = dates.select(date, F.when(F.col("position") < cut, "train").otherwise("test").alias("role"))
-    return df.join(roles, date)
+    return df.join(F.broadcast(roles), date)  # one row per calendar date
 
 
 def leakage_check(folds: DataFrame, date: str = "session_date") -> DataFrame:

@@ -18,6 +18,7 @@ from marketrisk.functions.frames import (
     so_far,
     with_running_frames,
 )
+from marketrisk.functions.ordered import join_per_group
 from marketrisk.series import Series, owned
 
 WINDOWS = (5, 10, 20, 60)
@@ -85,13 +86,19 @@ def vwap_deviation(minutes: DataFrame, series: Series) -> DataFrame:
     level = minutes.groupBy(*series.by_session).agg(
         div(F.sum(close * volume), F.sum(volume)).alias("liq_daily_vwap")
     )
+    rows = minutes.select(*series.by_session, series.order, "ohlcv_close")
     return (
-        minutes.select(*series.by_session, "ohlcv_close")
-        .join(level, series.by_session)
+        join_per_group(rows, level, series.by_session, series.order)
+        .groupBy(*series.by_session, "_salt")
+        .agg(
+            F.first("liq_daily_vwap").alias("liq_daily_vwap"),
+            F.sum(F.abs(close - F.col("liq_daily_vwap"))).alias("_away"),
+            F.count(close).alias("_n"),
+        )
         .groupBy(*series.by_session)
         .agg(
             F.first("liq_daily_vwap").alias("liq_daily_vwap"),
-            F.avg(F.abs(close - F.col("liq_daily_vwap"))).alias("liq_vwap_deviation"),
+            div(F.sum("_away"), F.sum("_n")).alias("liq_vwap_deviation"),
         )
     )
 

@@ -135,7 +135,7 @@ def microstructure_daily(
         return daily
     long_sessions = minutes.filter(F.col(size) >= SKETCH_ACCURACY)
     long_rows = owned(minute_quotes(long_sessions, series, look_backs), series)
-    return with_session_quantiles(daily, long_rows, series.by_session, quantiles)
+    return with_session_quantiles(daily, long_rows, series.by_session, quantiles, salt_by=series.order)
 
 
 def filled(daily: DataFrame, series: Series, how: str = "forward_fill") -> DataFrame:
