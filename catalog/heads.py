@@ -16,6 +16,7 @@ from marketrisk.heads import classifiers as cl
 from marketrisk.heads import quantiles as qt
 from marketrisk.heads import stacking as st
 from marketrisk.heads import volatility as vh
+from marketrisk.heads import walkforward as wf
 from marketrisk.operators import folds as fd
 from marketrisk.operators import targets as tg
 from marketrisk.plans import tables as tb
@@ -149,6 +150,14 @@ def stacked_classifier(spark, sf):
     return rounded(predict(df).select("vec_id", "y", "p_0", "p_1", "p_2", "predicted_class"))
 
 
+def expanding_forecasts(spark, sf):
+    """One-step-ahead class forecasts, refitted every 100 vectors."""
+    df = checkpointed(vectors(spark, sf))
+    fit = lambda train: cl.elastic_net_logistic(train, rounds=15)
+    out = wf.expanding_forecasts(df, fit, initial=200, every=100, date="vec_id")
+    return rounded(out.select("vec_id", "y", "p_0", "p_1", "p_2", "training_size"))
+
+
 def feature_importance(spark, sf):
     train, _ = _split(vectors(spark, sf))
     heads = [fit(train) for fit in BASES.values()]
@@ -204,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         boosted_classifier, forest_classifier, elastic_net_classifier, kernel_svm, har_rv, volatility_ensemble,
-        quantile_forest, quantile_order, conformal_interval, stacked_classifier, feature_importance, label_codes,
+        quantile_forest, quantile_order, conformal_interval, stacked_classifier, expanding_forecasts, feature_importance, label_codes,
         blend_weights, blended_forecast,
     )
 }

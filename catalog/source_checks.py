@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import sql as S
 from catalog.rounding import rounded
 from catalog.sessions_and_measures import ONE, SESSIONS, daily
+from marketrisk.functions.lineage import ensure_checkpoint_dir
 from marketrisk.plans import tables as tb
 from marketrisk.sources import quality as q
+from marketrisk.sources import readers, sinks
 from marketrisk.sources import schema as sc
 
 
@@ -99,11 +103,51 @@ def described(spark, sf):
     return rounded(q.described(df), 6)
 
 
+def _folder(spark, name):
+    """A new folder under the session's checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def minutes_written(spark, sf):
+    """Events written as minute parquet and as CSV text, both read back as the typed minute table."""
+    raw = tb.sessions(spark, sf).select("timestamp", "ohlcv_close", "ohlcv_volume", "iex_bid_price", "is_opx")
+    parquet, text = _folder(spark, "minutes"), _folder(spark, "minutes-csv")
+    raw.write.parquet(parquet)
+    as_text = raw.withColumn("iex_bid_price", F.coalesce(F.col("iex_bid_price").cast("string"), F.lit("NA")))
+    as_text.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.option("header", True).csv(text)
+    first = readers.read_minutes(spark, parquet).withColumn("of", F.lit("parquet"))
+    both = first.unionByName(readers.read_minutes_csv(spark, text).withColumn("of", F.lit("csv")))
+    shape = both.groupBy("of", "is_opx").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("iex_bid_price").alias("bids"),
+        F.sum("ohlcv_close").alias("close_sum"),
+        F.count("eod_Close").alias("eod"),
+    )
+    return rounded(shape, 4)
+
+
+def daily_written(spark, sf):
+    """Daily bars and a side table through CSV, features through year-partitioned parquet, rejoined."""
+    days = daily(spark, sf).select(F.col("session_date").alias("date"), F.col("daily_close").alias("close"), "daily_volume")
+    side = tb.macro_days(spark, sf).select(F.col("day").alias("date"), F.col("cboe_VIXCLS").alias("close"))
+    folder = _folder(spark, "daily")
+    sinks.write_csv(days, f"{folder}/days")
+    sinks.write_csv(side, f"{folder}/vix")
+    back = readers.read_daily_csv(spark, f"{folder}/days", "date string, close double, daily_volume double")
+    vix = readers.read_if_present(spark, f"{folder}/vix", "date string, close double")
+    absent = readers.read_if_present(spark, f"{folder}/nothing", "date string, close double")
+    joined = readers.with_side_tables(back, {"vix": vix, "sentiment": absent})
+    sinks.write_features(joined, f"{folder}/features", date="date")
+    return rounded(spark.read.parquet(f"{folder}/features").filter("year = 1998").drop("year"), 7)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         master_schema, null_before, early_null_share, order_violations, duplicate_keys, duplicate_count, completeness,
         missing_report, worst_columns, monthly_missing, usable_range, fingerprint, mostly_missing, leak_probe, described,
+        minutes_written, daily_written,
     )
 }
 
@@ -206,6 +250,23 @@ c AS (
            WHERE b.n = a.k + i) = a.x AS lag_hit FROM range(1, 5) r(i)))""",
     )
     + "SELECT lag, count(*) FILTER (lag_hit) AS equal_rows FROM c GROUP BY lag",
+    "minutes_written": S.ctes(_STAMPED)
+    + S.final(
+        "(SELECT o.x AS \"of\", is_opx, count(*) AS rows, count(iex_bid_price) AS bids, sum(ohlcv_close) AS close_sum,"
+        " 0::BIGINT AS eod FROM stamped, (VALUES ('parquet'), ('csv')) o(x) GROUP BY 1, 2)",
+        '"of", is_opx, rows, bids, eod',
+        4,
+    ),
+    "daily_written": S.ctes(
+        S.DAILY,
+        f"vix AS (SELECT CAST(o_orderdate AS DATE) AS d, {S.six('avg(o_totalprice) / 12000')} AS v FROM orders GROUP BY 1)",
+    )
+    + S.final(
+        "(SELECT session_date AS date, daily_close AS close, daily_volume, v AS close_vix FROM daily LEFT JOIN vix ON d = session_date"
+        " WHERE year(session_date) = 1998)",
+        "date",
+        7,
+    ),
     "described": """
 WITH e AS (SELECT CAST(user_id AS DOUBLE) AS user_id, CASE WHEN user_id % 7 <> 0 THEN value END AS value FROM events)
 """

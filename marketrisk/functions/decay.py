@@ -1,10 +1,10 @@
 """Exponentially decayed means and deviations as plain window sums.
 
 A decayed sum  S(t) = sum (1-a)^(t-i) x(i)  is split into blocks of L rows, with L
-chosen so that (1-a)^L is about 1e-6.  Inside a block the sum is a running sum of
-x(i) (1-a)^-j (j = row inside the block), which grows by at most 1e6 and keeps its
-precision; earlier blocks enter through their totals, L, 2L and 3L rows back, and
-anything older weighs less than 1e-18.  No Python, no recursion, no arrays.
+chosen so that (1-a)^L is about 1e-17.  Inside a block the sum is a running sum of
+x(i) (1-a)^-j (j = row inside the block): the newest terms are the largest, so the
+scaling costs no precision.  The block before enters through its total, found L rows
+back; anything older weighs less than 1e-17.  No Python, no recursion, no arrays.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from marketrisk.functions.columns import div, root
 from marketrisk.series import Series
 
-_BLOCK_DECAY = 1e-6
-_BLOCKS_BACK = 3
+_BLOCK_DECAY = 1e-17
 STEP = "_step"
 
 
@@ -49,16 +48,9 @@ class Decay:
         return F.sum(scaled).over(self.run), F.sum(scaled).over(self.whole_block)
 
     def joined(self, running: Column, total: Column, keep: float | None = None) -> Column:
-        """Put a block's running sum and the totals of the blocks before it together."""
+        """Put a block's running sum and the total of the block before it together."""
         keep = self.keep if keep is None else keep
-        older = sum(
-            (
-                F.coalesce(F.lag(total, b * self.length).over(self.days), F.lit(0.0))
-                * F.lit(keep ** (b * self.length))
-                for b in range(1, _BLOCKS_BACK + 1)
-            ),
-            F.lit(0.0),
-        )
+        older = F.coalesce(F.lag(total, self.length).over(self.days), F.lit(0.0)) * F.lit(keep**self.length)
         return F.pow(F.lit(keep), self.inside) * (running + older)
 
 

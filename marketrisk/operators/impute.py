@@ -24,8 +24,18 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of the non-null values, read once (one number per column)."""
     if not columns:
         return {}
-    row = exact_quantiles(df.select(*columns), [], {c: (c, 0.5) for c in columns}).first()
-    return {c: row[c] if row is not None and row[c] is not None else 0.0 for c in columns}
+    rows = column_medians(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns).collect()
+    found = {r["column_name"]: r["median"] for r in rows}
+    return {c: found[c] if found.get(c) is not None else 0.0 for c in columns}
+
+
+def column_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact median per key and column, as (keys, column_name, median) rows.
+
+    Long form: the plan does not grow with the number of columns.
+    """
+    long = df.unpivot(list(keys), list(columns), "column_name", "value")
+    return exact_quantiles(long, [*keys, "column_name"], {"median": ("value", 0.5)})
 
 
 def typed_fill(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -52,16 +62,37 @@ def fill_gaps(df: DataFrame, columns: Sequence[str], series: Series, backward: b
 
 
 def fold_statistics(train: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Median, and mean / population deviation after median filling, per fold of training rows."""
+    """Median, and mean / population deviation after median filling, per fold of training rows.
+
+    Filling m nulls with the median moves the first two moments by known amounts, so one
+    aggregation of the long form is enough.
+    """
     clean = train.select(fold, *[finite(c).alias(c) for c in columns])
-    middle = exact_quantiles(clean, [fold], {f"median_{c}": (c, 0.5) for c in columns})
-    filled = clean.join(F.broadcast(middle), fold).select(  # one row per fold
-        fold, *[F.coalesce(F.col(c), F.col(f"median_{c}"), F.lit(0.0)).alias(c) for c in columns]
+    long = clean.unpivot([fold], list(columns), "column_name", "value")
+    moments = long.groupBy(fold, "column_name").agg(
+        F.count("value").alias("_n"),
+        F.count(F.lit(1)).alias("_all"),
+        F.coalesce(F.avg("value"), F.lit(0.0)).alias("_avg"),
+        F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("_var"),
+    )
+    both = moments.join(F.broadcast(column_medians(clean, columns, [fold])), [fold, "column_name"])  # folds x columns rows
+    known = F.col("_n") / F.col("_all")
+    middle = F.coalesce(F.col("median"), F.lit(0.0))
+    away = F.col("_avg") - middle
+    stats = both.select(
+        fold,
+        "column_name",
+        middle.alias("median"),
+        (middle + known * away).alias("mean"),
+        F.sqrt(known * F.col("_var") + known * (1 - known) * away * away).alias("std"),
     )
-    spread = filled.groupBy(fold).agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]
+    return stats.groupBy(fold).agg(
+        *[
+            F.max(F.when(F.col("column_name") == c, F.col(k))).alias(f"{k}_{c}")
+            for c in columns
+            for k in ("median", "mean", "std")
+        ]
     )
-    return middle.join(spread, fold)
 
 
 def standardized(rows: DataFrame, statistics: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:

@@ -81,24 +81,31 @@ def daily_features(
     the session, which keeps each plan small; all of them are calendar-sized.
     """
     base = targets.crash_boom_labels(daily, series, gammas)
-    daily_path = path.with_momentum(path.with_cumulative(path.with_ranges(path.with_gaps(base, series), series), series), series)
-    daily_liq = liquidity.with_relative(
-        liquidity.with_bucket_ratios(liquidity.with_rolling(base, series)), series, point_in_time
-    )
+    bars = [f"daily_{k}" for k in ("open", "high", "low", "close", "volume", "return", "range")] + ["overnight_gap"]
+
+    def slim(*columns: str) -> DataFrame:
+        """Only what a family reads, so that its windows carry narrow rows."""
+        return base.select(*series.by_session, *[c for c in columns if c in base.columns])
+
+    moves = path.with_cumulative(path.with_ranges(path.with_gaps(slim(*bars), series), series), series)
+    volumes = liquidity.with_bucket_ratios(liquidity.with_rolling(slim(*prefixed(base, "liq_")), series))
+    variation = ["RV_daily", "BV_daily", "JV_daily", "upside_var", "downside_var", "realized_skew", "realized_kurt"]
+    memory = ["RV_daily", "log_RV_daily", "daily_return", "z_score_next", "jump_ratio", "is_opx"]
+    dated = macro.with_date_parts(slim(*bars, "liq_daily_volume", "is_opx"), series)
     families = [
-        volatility.volatility_features(base, series, point_in_time),
-        quotes.filled(base, series),
-        daily_path,
-        daily_liq,
-        macro.time_features(base, series),
-        regime.regime_features(base, series, point_in_time),
-        events.event_features(base, series),
+        volatility.volatility_features(slim(*variation), series, point_in_time),
+        quotes.filled(slim(*prefixed(base, "iex_")), series),
+        path.with_momentum(moves, series),
+        liquidity.with_relative(volumes, series, point_in_time),
+        macro.time_features(slim("is_holiday"), series),
+        regime.regime_features(slim(*memory), series, point_in_time),
+        events.event_features(dated, series),
     ]
     if set(macro.SERIES_NAMES) <= set(base.columns):
-        families.append(macro.macro_features(base, series))
+        families.append(macro.macro_features(slim(*macro.SERIES_NAMES), series))
     if with_technical:
-        families.append(technical.technical_features(base, series))
-    out = base.drop(*[c for c in base.columns if c.startswith("iex_")])
+        families.append(technical.technical_features(slim(*bars), series))
+    out = base.drop(*prefixed(base, "iex_"))
     for family in families:
         added = [c for c in family.columns if c not in out.columns]
         out = out.join(family.select(*series.by_session, *added), series.by_session, "left")

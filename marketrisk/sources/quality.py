@@ -183,14 +183,7 @@ def described(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             for c in columns
         ]
     ).unpivot([], columns, "column_name", "_s")
-    levels = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    as_double = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    quartiles = exact_quantiles(as_double, [], {f"{c}|{k}": (c, q) for c in columns for k, q in levels.items()})
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{k}`").alias(k) for k in levels])
-            for c in columns
-        ]
-    )
-    long = quartiles.select(F.explode(rows).alias("_r")).select("_r.*")
-    return basics.select("column_name", "_s.*").join(F.broadcast(long), "column_name")  # one row per column
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
+    levels = {"q25": ("value", 0.25), "q50": ("value", 0.5), "q75": ("value", 0.75)}
+    quartiles = exact_quantiles(long, ["column_name"], levels)
+    return basics.select("column_name", "_s.*").join(F.broadcast(quartiles), "column_name")  # one row per column
