@@ -40,27 +40,36 @@ class Decay:
         self.whole_block = Window.partitionBy(*series.keys, self.block)
         self.run = self.whole_block.orderBy(series.session).rowsBetween(Window.unboundedPreceding, 0)
         self.days = days
+        self.powers: dict[float, tuple[Column, Column]] = {}
+
+    def _powers(self, keep: float) -> tuple[Column, Column]:
+        """keep^-j and keep^j for row j of the block."""
+        if keep not in self.powers:
+            self.powers[keep] = F.pow(F.lit(keep), -self.inside), F.pow(F.lit(keep), self.inside)
+        return self.powers[keep]
 
     def pieces(self, x: Column, keep: float | None = None) -> tuple[Column, Column]:
         """(running sum inside the block, block total) of x scaled to the block start."""
         keep = self.keep if keep is None else keep
-        scaled = F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(keep), -self.inside)
+        scaled = F.coalesce(x, F.lit(0.0)) * self._powers(keep)[0]
         return F.sum(scaled).over(self.run), F.sum(scaled).over(self.whole_block)
 
     def joined(self, running: Column, total: Column, keep: float | None = None) -> Column:
         """Put a block's running sum and the total of the block before it together."""
         keep = self.keep if keep is None else keep
         older = F.coalesce(F.lag(total, self.length).over(self.days), F.lit(0.0)) * F.lit(keep**self.length)
-        return F.pow(F.lit(keep), self.inside) * (running + older)
+        return self._powers(keep)[1] * (running + older)
 
 
 def _decayed_sums(
     df: DataFrame, requests: dict[str, tuple[Column, float, float]], series: Series, step: str
 ) -> DataFrame:
     """Add ``name -> decayed sum of x``; a request is (x, alpha for the blocks, keep factor)."""
-    staged, finals = {}, {}
+    staged, finals, decays = {}, {}, {}
     for name, (x, alpha, keep) in requests.items():
-        decay = Decay(alpha, series, step)
+        if alpha not in decays:
+            decays[alpha] = Decay(alpha, series, step)
+        decay = decays[alpha]
         running, total = decay.pieces(x, keep)
         staged[f"_run_{name}"], staged[f"_all_{name}"] = running, total
         finals[name] = decay.joined(F.col(f"_run_{name}"), F.col(f"_all_{name}"), keep)
