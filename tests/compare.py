@@ -96,13 +96,13 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     wanted = argv[1:]
     spark = build_session("compare")
-    con = connect(str(TESTDATA / f"sf{sf}"))
+    sf_dir = str(TESTDATA / f"sf{sf}")
     failed = 0
     for name in catalog.queries():
         if wanted and not any(w in name for w in wanted):
             continue
         try:
-            problem, spent, rows = compare(spark, con, name, str(TESTDATA / f"sf{sf}"))
+            problem, spent, rows = compare(spark, connect(sf_dir), name, sf_dir)
         except Exception as e:  # report and go on with the next query
             problem, spent, rows = f"{type(e).__name__}: {str(e)[:600]}", 0.0, 0
         failed += bool(problem)

@@ -8,7 +8,7 @@ from tests.compare import TESTDATA, compare, connect
 SF_DIR = str(TESTDATA / "sf0.001")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture()
 def con():
     return connect(SF_DIR)
 
