@@ -394,7 +394,7 @@ g AS (
     + S.final(
         "(SELECT session_date, "
         + ", ".join(
-            f"vr{s} AS reg_vr_{s}d, ln(vr{s}) AS reg_log_vr_{s}d, abs(vr{s} - 1) AS reg_vr_deviation_{s}d" for s in reg.SPANS
+            f"vr{s} AS reg_vr_{s}d, CASE WHEN vr{s} > 0 THEN ln(vr{s}) END AS reg_log_vr_{s}d, abs(vr{s} - 1) AS reg_vr_deviation_{s}d" for s in reg.SPANS
         )
         + ", quint AS reg_vr_quintile, CASE WHEN vr20 IS NOT NULL THEN (SELECT count(*) FILTER (b.vr20 < a.vr20)"
         " + (count(*) FILTER (b.vr20 = a.vr20) + 1) / 2.0 FROM st b WHERE b.n <= a.n"
@@ -436,9 +436,9 @@ z AS (
         """
 rs AS (
   SELECT a.n, list(b.log_RV_daily - mu ORDER BY b.n) AS dev, sd FROM
-    (SELECT n, avg(log_RV_daily) OVER f AS mu, stddev_pop(log_RV_daily) OVER f AS sd, count(*) OVER f AS k FROM daily
+    (SELECT n, avg(log_RV_daily) OVER f AS mu, stddev_pop(log_RV_daily) OVER f AS sd, count(log_RV_daily) OVER f AS k FROM daily
      WINDOW f AS (ORDER BY session_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) a
-    JOIN daily b ON b.n <= a.n AND b.n > a.n - 60 WHERE k >= 30 GROUP BY a.n, sd),
+    JOIN daily b ON b.n <= a.n AND b.n > a.n - 60 AND b.log_RV_daily IS NOT NULL WHERE k >= 30 GROUP BY a.n, sd),
 cum AS (
   SELECT n, sd, list_transform(range(1, len(dev) + 1), lambda i: list_sum(dev[1:i])) AS c FROM rs)""",
     )
@@ -450,7 +450,8 @@ cum AS (
             f" RV_daily / nullif(lag(RV_daily, {k}) OVER o, 0) - 1 AS reg_rv_change_{k}d"
             for k in reg.LAGS
         )
-        + ", log_RV_daily - 0.8 * pl AS reg_ar1_residual, CASE WHEN z.n >= 30 THEN corr(log_RV_daily, pl) OVER"
+        + ", log_RV_daily - 0.8 * pl AS reg_ar1_residual, CASE WHEN count(log_RV_daily) OVER"
+        " (ORDER BY session_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) >= 30 THEN corr(log_RV_daily, pl) OVER"
         " (ORDER BY session_date ROWS BETWEEN 58 PRECEDING AND CURRENT ROW) END AS reg_rolling_autocorr,"
         " (list_max(c) - list_min(c)) / (sd + 1e-8) AS reg_hurst_proxy"
         " FROM z LEFT JOIN cum USING (n) WINDOW o AS (ORDER BY session_date))",

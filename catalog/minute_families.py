@@ -249,7 +249,8 @@ _D20 = "abs(daily_close / lag(daily_close) OVER (ORDER BY session_date) - 1) / (
 ORACLE = {
     "vol_transforms": S.ctes(S.DAILY)
     + S.final(
-        "(SELECT session_date, ln(RV_daily) AS vr_log_rv, ln(BV_daily) AS vr_log_bv, ln(JV_daily + 1e-8) AS vr_log_jv,"
+        "(SELECT session_date, CASE WHEN RV_daily > 0 THEN ln(RV_daily) END AS vr_log_rv,"
+        " CASE WHEN BV_daily > 0 THEN ln(BV_daily) END AS vr_log_bv, ln(JV_daily + 1e-8) AS vr_log_jv,"
         " RVol_daily AS vr_rvol, BVol_daily AS vr_bvol, JVol_daily AS vr_jvol,"
         " JV_daily / (RV_daily + 1e-8) AS vr_jump_ratio, BV_daily / (RV_daily + 1e-8) AS vr_continuous_ratio,"
         " CAST(JV_daily > quantile_cont(RV_daily, 0.95) OVER (ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING"

@@ -103,7 +103,7 @@ def ewm(x: str, alpha: str, name: str, source: str = "daily") -> str:
     return f"""
 {name} AS (
   SELECT a.n, sum(b.x * pow(1 - {alpha}, a.n - b.n)) / sum(pow(1 - {alpha}, a.n - b.n)) AS y
-  FROM (SELECT n FROM {source}) a JOIN (SELECT n, {x} AS x FROM {source} WHERE ({x}) IS NOT NULL) b
+  FROM (SELECT n FROM {source}) a LEFT JOIN (SELECT n, {x} AS x FROM {source} WHERE ({x}) IS NOT NULL) b
     ON b.n <= a.n AND b.n > a.n - ceil(ln(1e-18) / ln(1 - {alpha}))
   GROUP BY a.n)"""
 
