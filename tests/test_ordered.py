@@ -93,3 +93,20 @@ def test_running_totals_descending(spark):
     pdf: pd.DataFrame = got.toPandas().sort_values(["g", "s"], ascending=[True, False])
     for _, g in pdf.groupby("g"):
         assert g["n"].tolist() == list(range(1, len(g) + 1))
+
+
+def test_quote_quantiles_of_long_sessions(spark, monkeypatch):
+    """Sessions above the limit take their quantiles from the distributed pass, with the same result."""
+    from marketrisk.operators import microstructure
+    from marketrisk.plans import tables
+
+    minutes, series = tables.ticks(spark, "/root/testdata/sf0.001")
+    columns = ["session_date", "iex_spread_rel_q75", "iex_depth_imbalance_q75", "iex_spread_change_q75"]
+    plain = microstructure.microstructure_daily(minutes, series, "session_rows", (30,)).select(*columns)
+    expected = plain.toPandas().sort_values("session_date").reset_index(drop=True)
+    monkeypatch.setattr(microstructure, "SKETCH_ACCURACY", 3)
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 3)
+    cut = microstructure.microstructure_daily(minutes, series, "session_rows", (30,)).select(*columns)
+    got = cut.toPandas().sort_values("session_date").reset_index(drop=True)
+    for c in columns[1:]:
+        np.testing.assert_allclose(got[c].astype(float), expected[c].astype(float), atol=1e-12)
