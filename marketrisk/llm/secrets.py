@@ -1,0 +1,283 @@
+"""Secret scanning: fixed patterns, and a battery of randomness tests for everything that looks like a key.
+
+Three fixed kinds (assigned passwords, access key ids, long hex strings) are found first.  The method adds
+kind ``random``: maximal runs of key characters whose encoding is inferred (digits, hex, letters and digits of one
+case, base64) are tested against the hypothesis that they are uniformly random in that encoding: chi-squared of the symbol
+counts, the Wald-Wolfowitz runs test about the alphabet's middle, and the lag-one serial correlation.  The
+smallest of the three p-values, tripled, is the run's.  A Benjamini-Hochberg step over all runs
+of the corpus, with weights growing with length as longer strings give the tests more power, rejects
+those that are not random; what stands is reported.
+
+Positions are code points.  Everything is built-in column functions: matches come from regexp_extract_all, what
+lies between them from split, and running lengths of both give the positions.
+
+Defined cases: a null or empty text has no spans; repeated rows, null ids and other columns pass
+through, each row being judged by its own text; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from marketrisk.llm.shared import free_name, materialised, text_or_empty
+
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_GATE = r"(?i)password|passwd|secret|token|api_?key"
+#: Maximal runs of these characters are candidates; for a run, "at least 32" is the same as dropping shorter ones.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+KEYLIKE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+KINDS = ("assign", "access", "hex", "random")
+LEAST_VALUE = 8
+#: Share of truly random strings among the dismissed ones.
+FALSE_DISCOVERY = 0.05
+#: Steps of log10 p in which the step-up rule is evaluated, and its floor.
+STEPS_PER_DECADE, DECADES = 100, 30
+
+
+def spans_of(text: Column, pattern: str, keep=None) -> Column:
+    """Array of (start, end) of the non-overlapping matches of ``pattern``; ``keep`` tests a match's string.
+
+    Both arrays of strings are evaluated once per row, as arguments of one higher-order function.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["match"])
+        span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"))
+        good = pair["match"].isNotNull() if keep is None else pair["match"].isNotNull() & keep(pair["match"])
+        return F.struct(
+            F.coalesce(end, begin).cast("int").alias("at"),
+            F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+        )
+
+    paired = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.aggregate(paired, start, step, lambda acc: acc["out"])
+
+
+def _gated(text: Column, gate: str, spans: Column) -> Column:
+    return F.when(text.rlike(gate), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def _normal_tail(z: Column) -> Column:
+    """Two-sided tail of the standard normal, by the Abramowitz-Stegun approximation 26.2.17 (error below 1e-7)."""
+    x = F.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-x * x / 2) * poly)
+
+
+def alphabet_of(body: Column) -> Column:
+    """Symbols of the inferred encoding in the order of their values; null if none fits.
+
+    Every encoding needs digits and letters together, so plain words and plain numbers are no candidates.
+    """
+    digits, small, large = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    has_digit, has_small, has_large = body.rlike("[0-9]"), body.rlike("[a-z]"), body.rlike("[A-Z]")
+    return (
+        F.when(~has_digit | ~(has_small | has_large), F.lit(None).cast("string"))
+        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(digits + "abcdef"))
+        .when(body.rlike("^[0-9a-z]+$"), F.lit(digits + small))
+        .when(body.rlike("^[0-9A-Z]+$"), F.lit(digits + large))
+        .when(has_small & has_large, F.lit(digits + large + small + "+/"))
+    )
+
+
+def _moments(codes: Column, size: Column) -> Column:
+    """One pass over the symbol values: sums, products of neighbours, symbols of the upper half, changes of half."""
+    zero = F.struct(
+        *[F.lit(0.0).alias(c) for c in ("n", "sum", "squares", "products", "upper", "runs")],
+        F.lit(None).cast("double").alias("last"),
+        F.lit(None).cast("double").alias("first"),
+    )
+
+    def step(acc: Column, code: Column) -> Column:
+        v = code.cast("double")
+        half = (2 * v >= size).cast("double")
+        last_half = (2 * acc["last"] >= size).cast("double")
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            (acc["sum"] + v).alias("sum"),
+            (acc["squares"] + v * v).alias("squares"),
+            (acc["products"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("products"),
+            (acc["upper"] + half).alias("upper"),
+            (acc["runs"] + F.when(acc["last"].isNull() | (half != last_half), 1.0).otherwise(0.0)).alias("runs"),
+            v.alias("last"),
+            F.coalesce(acc["first"], v).alias("first"),
+        )
+
+    return F.aggregate(codes, zero, step)
+
+
+def with_p_value(candidates: Column) -> Column:
+    """Add ``p`` to an array of (start, end, body): "uniformly random in its encoding".
+
+    The smallest p-value of the three tests, tripled.  Candidates without an encoding are left out.
+    """
+    encoded = F.filter(
+        F.transform(
+            candidates,
+            lambda x: F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["body"].alias("body"), alphabet_of(x["body"]).alias("alphabet")
+            ),
+        ),
+        lambda x: x["alphabet"].isNotNull(),
+    )
+
+    def measured(x: Column) -> Column:
+        alphabet = x["alphabet"]
+        shown = F.when(F.length(alphabet) == 16, F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
+        size = F.length(alphabet).cast("double")
+        counts = F.transform(F.split(alphabet, ""), lambda c: F.length(shown) - F.length(F.replace(shown, c, F.lit(""))))
+        codes = F.transform(F.split(shown, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
+        return F.struct(
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            size.alias("size"),
+            F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c.cast("double") * c).alias("squares"),
+            _moments(codes, size).alias("m"),
+        )
+
+    def tested(x: Column) -> Column:
+        m, size = x["m"], x["size"]
+        n, df = m["n"], x["size"] - 1
+        ratio = F.greatest(size / n * x["squares"] - n, F.lit(0.0)) / df
+        uniform = (F.cbrt(ratio) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        p_uniform = F.when(uniform <= 0, 1.0).otherwise(_normal_tail(uniform) / 2)
+        lower = n - m["upper"]
+        mean = 1 + 2 * m["upper"] * lower / n
+        variance = (mean - 1) * (mean - 2) / (n - 1)
+        p_runs = F.when(variance > 0, _normal_tail((m["runs"] - mean) / F.sqrt(variance))).otherwise(1.0)
+        average = m["sum"] / n
+        around = m["squares"] - n * average * average
+        neighbours = m["products"] - average * (2 * m["sum"] - m["first"] - m["last"]) + (n - 1) * average * average
+        p_serial = F.when(around > 0, _normal_tail((neighbours / around + 1 / n) * F.sqrt(n))).otherwise(0.0)
+        p = F.least(F.lit(1.0), 3 * F.least(p_uniform, p_runs, p_serial))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), p.alias("p"))
+
+    return F.transform(F.transform(encoded, measured), tested)
+
+
+def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add a struct column: the spans of each fixed kind and the tested candidates; all rows and columns stay."""
+    m = free_name(docs, "_secrets")
+    whole = docs.withColumn(f"{m}_text", text_or_empty(f"`{text}`"))
+    t = F.col(f"{m}_text")
+    long_value = lambda match: F.length(F.regexp_extract(match, ASSIGN, 2)) >= LEAST_VALUE
+    found = whole.withColumns(
+        {
+            f"{m}_assign": _gated(t, ASSIGN_GATE, spans_of(t, ASSIGN, long_value)),
+            f"{m}_access": _gated(t, ACCESS, spans_of(t, ACCESS)),
+            f"{m}_hex": _gated(t, HEX, spans_of(t, HEX)),
+            f"{m}_runs": _gated(t, KEYLIKE, spans_of(t, KEYLIKE)),
+        }
+    )
+    base = F.concat(f"{m}_assign", f"{m}_access", f"{m}_hex")
+    apart = F.filter(
+        f"{m}_runs", lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    )
+    bodies = F.transform(
+        apart,
+        lambda r: F.struct(
+            r["start"].alias("start"),
+            r["end"].alias("end"),
+            F.rtrim(F.substring(t, r["start"] + 1, r["end"] - r["start"]), F.lit("=")).alias("body"),
+        ),
+    )
+    tested = found.withColumn(f"{m}_bodies", bodies).withColumn(f"{m}_tested", with_p_value(F.col(f"{m}_bodies")))
+    return tested.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.struct(*[F.col(f"{m}_{k}").alias(k) for k in (*KINDS[:3], "tested")]).alias(m),
+    )
+
+
+def _step(x: Column, mean_length: Column) -> Column:
+    """Candidates as steps of -log10 of p over its weight, the length over the mean length; capped at the floor."""
+    weighted = x["p"] * mean_length / x["n"]
+    return F.least(
+        F.floor(-F.log10(F.greatest(weighted, F.lit(10.0**-DECADES))) * STEPS_PER_DECADE), F.lit(DECADES * STEPS_PER_DECADE)
+    )
+
+
+def dismissal(scored: DataFrame, m: str, level: float = FALSE_DISCOVERY) -> DataFrame:
+    """One row: mean length of the candidates and the step from which on they are dismissed as not random.
+
+    The step-up rule is evaluated on at most ``DECADES * STEPS_PER_DECADE`` counts, each with the larger end of its step.
+    """
+    candidates = scored.select(F.explode(F.col(m)["tested"]).alias("x"))
+    mean = candidates.agg(F.avg("x.n").alias("mean_length"))
+    steps = candidates.join(F.broadcast(mean)).select(_step(F.col("x"), F.col("mean_length")).alias("step"))
+    counts = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.col("step").desc())  # a bounded number of steps, however many candidates
+    ranked = counts.select(
+        "step", F.sum("n").over(down).alias("rank"), F.sum("n").over(Window.partitionBy()).alias("all")
+    )
+    passing = F.pow(F.lit(10.0), -F.col("step") / STEPS_PER_DECADE) <= level * F.col("rank") / F.col("all")
+    cut = ranked.agg(F.min(F.when(passing, F.col("step"))).alias("cut"))
+    return mean.join(F.broadcast(cut))
+
+
+def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -> tuple[DataFrame, str]:
+    """(table, name of its column): every row with an array of spans (start, end, kind) ordered by start, then kind.
+
+    What the patterns and tests found is written once to the shared folder, as the step-up rule needs all of it.
+    """
+    scored = materialised(scanned(docs, text))
+    m = scored.columns[-1]
+    cut = materialised(dismissal(scored, m, level).select(*[F.col(c).alias(f"{m}_{c}") for c in ("mean_length", "cut")]))
+    joined = scored.join(F.broadcast(cut))  # one row
+    kept = F.filter(
+        F.col(m)["tested"],
+        lambda x: F.coalesce(_step(x, F.col(f"{m}_mean_length")) < F.col(f"{m}_cut"), F.lit(True)),
+    )
+    parts = [F.col(m)[k] for k in KINDS[:3]] + [kept]
+
+    def of_kind(part: Column, kind: int) -> Column:
+        return F.transform(
+            part, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
+        )
+
+    spans = F.concat(*[of_kind(part, kind) for kind, part in enumerate(parts)])
+    return joined.withColumn(m, F.sort_array(spans)).drop(f"{m}_mean_length", f"{m}_cut"), m
+
+
+def written(spans: Column) -> Column:
+    """kind:start:end of all spans, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+
+
+def redacted(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", level: float = FALSE_DISCOVERY) -> DataFrame:
+    """The rows of ``docs`` with every span replaced by ``[kind]``; overlapping spans by the first one's.
+
+    ``chars`` names a column for the code points of the text, brought up to date where the text changed.
+    """
+    table, m = found(docs, text, level)
+    t, spans = F.col(f"`{text}`"), F.col(m)
+    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
+        )
+
+    rebuilt = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    hit = F.size(spans) > 0
+    changed = table.withColumn(text, F.when(hit, rebuilt).otherwise(t))
+    if chars in docs.columns:
+        changed = changed.withColumn(chars, F.when(hit, F.length(text).cast("long")).otherwise(F.col(f"`{chars}`")))
+    return changed.drop(m)
