@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketrisk.llm import mixing, quality, secrets, sharding
+from marketrisk.llm import licenses, lm, mixing, packing, quality, secrets, sharding
 from marketrisk.llm.shared import documents
 from marketrisk.llm.sql import ORACLE  # noqa: F401
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "text")
+    model = lm.trained(docs.filter(~F.col("held_out")))
+    return lm.scored(docs, model)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, m = quality.judged(documents(spark, sf_dir).select("doc_id", "text", "source"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,9 +50,34 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", *[F.col(m)[c].alias(c) for c in ("size", "source_size", "target")], taken)
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, m = licenses.detected(documents(spark, sf_dir).select("doc_id", "text"))
+    found = F.col(m)
+    starts = F.transform(found["base"], lambda s: s["start"].cast("long"))
+    base = licenses.base_labels(found)
+    return table.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        F.size(found["base"]).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.joined(base).alias("base_labels"),
+        licenses.joined(F.concat(base, licenses.own_labels(found))).alias("labels"),
+        licenses.confidence(found).alias("score"),
+    )
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op2_bloom_lm": language_model,
     "op5_quality_rules": quality_rules,
     "op6_hilbert_shards": sharded,
     "op7_secret_scan": secret_scan,
     "op8_source_mix": mixture,
+    "op9_license_scan": license_scan,
+    "op10_curve_packing": packed,
 }
