@@ -1,0 +1,306 @@
+"""Visible text of HTML pages, laid out as a reader sees it.
+
+A builder keeps the stack of open elements, closes what the next tag implies to be closed and opens what it implies to
+be open (rows and bodies of tables, lists' items).  What is visible goes into flows of lines: blocks start lines of their
+own and keep their spacing, list items get their bullet or number and hang below it, preformatted text keeps its lines,
+and cells of tables are padded to aligned columns.  A table with long cells is a layout table; its cells follow one
+another as blocks.  Nothing visible is left out.
+
+Hidden are: the head, scripts, styles, templates, comments and embedded objects; elements with ``hidden``, a hidden
+input, a closed dialog; elements whose own style or class or id (by simple rules of the page's style elements) says
+``display:none``; and, until shown again further down, ``visibility:hidden``.
+
+Defined cases: a null page is null, an empty page or one without visible text is the empty string; broken markup closes
+at the end of the page; repeated rows and other columns pass through; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Fixed values of the HTML standard.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset("head title script style template noscript iframe object svg canvas audio video map datalist math".split())
+#: Blocks and the blank lines they keep above and below.
+BLOCKS = dict.fromkeys(
+    "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend "
+    "li main menu nav option optgroup search section select summary tbody td tfoot th thead tr".split(),
+    0,
+) | dict.fromkeys("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul caption".split(), 1)
+#: A start tag in the first set closes an open element of the second, up to a boundary of the third.
+IMPLIED_END = (
+    ({"li"}, {"li"}, {"ul", "ol", "menu", "dir"}),
+    ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    ({"option"}, {"option"}, {"select"}),
+    ({"optgroup"}, {"option", "optgroup"}, {"select"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    ({"tr"}, {"td", "th", "tr"}, {"table"}),
+    ({"tbody", "thead", "tfoot"}, {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, {"table"}),
+    ({"body"}, {"head"}, set()),
+)
+CLOSES_P = frozenset(t for t in BLOCKS if t not in ("option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "select"))
+SCOPE = frozenset("table td th caption".split())
+LONGEST_CELL = 80
+
+_SPACE = re.compile(r"[ \t\n\f\r]+")
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"[.#][\w-]+")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
+
+
+class Flow:
+    """Lines of text; blank lines between blocks are at most what the larger of two neighbours asks for."""
+
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.now: list[str] = []
+        self.gap = 0
+        self.indent = ""
+        self.marker = ""
+
+    def inline(self, text: str) -> None:
+        text = _SPACE.sub(" ", text)
+        if text[:1] == " " and (not self.now or self.now[-1].endswith(" ")):
+            text = text[1:]
+        if text:
+            self.now.append(text)
+
+    def exact(self, text: str) -> None:
+        first, *others = text.split("\n")
+        if first:
+            self.now.append(first)
+        for line in others:
+            self.end_line(strip=False, keep=True)
+            if line:
+                self.now.append(line)
+
+    def end_line(self, strip: bool = True, keep: bool = False) -> None:
+        text = "".join(self.now)
+        text = text.rstrip(" ") if strip else text
+        self.now = []
+        if not text.strip() and not keep:
+            return
+        self.put(text)
+
+    def put(self, text: str) -> None:
+        if self.lines:
+            self.lines += [""] * self.gap
+        self.gap = 0
+        lead = self.indent
+        if self.marker:
+            lead = lead[: -len(self.marker)] + self.marker
+            self.marker = ""
+        self.lines.append((lead + text).rstrip(" ") if not text.strip() else lead + text)
+
+    def block(self, margin: int) -> None:
+        self.end_line()
+        self.gap = max(self.gap, margin)
+
+    def done(self) -> list[str]:
+        self.end_line()
+        return self.lines
+
+
+class Page(HTMLParser):
+    """Events of one page; ``text`` gives the result."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool, bool]] = []  # tag, displayed, visible
+        self.flows = [Flow()]
+        self.lists: list[list] = []  # [numbered, next number]
+        self.markers: list[int] = []
+        self.tables: list[list[list[tuple[list[str], int]]]] = []
+        self.pre = 0
+        self.unshown: set[str] = set()
+
+    # open elements
+
+    def has(self, tags: set[str], boundary: frozenset | set = frozenset()) -> bool:
+        for tag, _, _ in reversed(self.open):
+            if tag in tags:
+                return True
+            if tag in boundary:
+                return False
+        return False
+
+    def close_through(self, tags: set[str]) -> None:
+        while self.open:
+            tag = self.open[-1][0]
+            self.leave()
+            if tag in tags:
+                return
+
+    def handle_starttag(self, tag: str, attributes: list) -> None:
+        for starts, ended, boundary in IMPLIED_END:
+            if tag in starts:
+                while self.has(ended, boundary):
+                    self.close_through(ended)
+        if tag in CLOSES_P and self.has({"p"}, SCOPE):
+            self.close_through({"p"})
+        if tag in ("td", "th") and self.has({"table"}) and not self.has({"tr"}, {"table"}):
+            self.enter("tr", {})
+        self.enter(tag, {k: v or "" for k, v in attributes})
+        if tag in VOID:
+            self.leave()
+
+    def handle_startendtag(self, tag: str, attributes: list) -> None:
+        self.handle_starttag(tag, attributes)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "p" and not self.has({"p"}, SCOPE):
+            self.handle_starttag("p", [])
+        boundary = SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else frozenset({"table"} - {tag})
+        if tag not in VOID and self.has({tag}, boundary):
+            self.close_through({tag})
+
+    # visibility
+
+    def enter(self, tag: str, a: dict[str, str]) -> None:
+        displayed, visible = self.open[-1][1:] if self.open else (True, True)
+        style = a.get("style", "")
+        names = {f".{c}" for c in a.get("class", "").split()} | {f"#{a.get('id', '')}"}
+        if (
+            tag in HIDDEN
+            or "hidden" in a
+            or (tag == "input" and a.get("type", "").lower() == "hidden")
+            or (tag == "dialog" and "open" not in a)
+            or _NO_DISPLAY.search(style)
+            or names & self.unshown
+        ):
+            displayed = False
+        if found := _VISIBILITY.search(style):
+            visible = found[1].lower() not in ("hidden", "collapse")
+        self.open.append((tag, displayed, visible))
+        if displayed:
+            self.begin(tag, a)
+
+    def leave(self) -> None:
+        tag, displayed, _ = self.open.pop()
+        if displayed:
+            self.end(tag)
+
+    def handle_data(self, data: str) -> None:
+        tag, displayed, visible = self.open[-1] if self.open else ("", True, True)
+        if tag == "style":
+            for selectors, body in _RULE.findall(data):
+                if _NO_DISPLAY.search(body):
+                    self.unshown |= {s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip())}
+        elif displayed and visible and not (tag in ("table", "tr", "tbody", "thead", "tfoot") and not data.strip()):
+            (self.flows[-1].exact if self.pre else self.flows[-1].inline)(data)
+
+    # layout
+
+    def begin(self, tag: str, a: dict[str, str]) -> None:
+        flow = self.flows[-1]
+        if tag == "br":
+            flow.end_line(keep=True)
+            return
+        if tag == "wbr":
+            return
+        if tag in BLOCKS:
+            flow.block(0 if self.lists and tag in ("ul", "ol") else BLOCKS[tag])
+        if tag == "pre":
+            self.pre += 1
+        elif tag in ("ul", "ol", "menu", "dir"):
+            start = a.get("start", "1")
+            self.lists.append([tag == "ol", int(start) if start.isascii() and start.isdigit() else 1])
+        elif tag == "li":
+            numbered = self.lists[-1] if self.lists else [False, 1]
+            marker = f"{numbered[1]}. " if numbered[0] else "- "
+            numbered[1] += 1
+            flow.indent += " " * len(marker)
+            flow.marker = marker
+            self.markers.append(len(marker))
+        elif tag in ("dd", "blockquote"):
+            flow.indent += "  "
+        elif tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables:
+            self.flows.append(Flow())
+            span = a.get("colspan", "1")
+            self.tables[-1][-1:] = self.tables[-1][-1:] or [[]]
+            self.tables[-1][-1].append(([], min(int(span), 1000) if span.isascii() and span.isdigit() and int(span) else 1))
+
+    def end(self, tag: str) -> None:
+        if tag == "li":
+            flow = self.flows[-1]
+            flow.block(0)
+            flow.marker = ""
+            flow.indent = flow.indent[: len(flow.indent) - self.markers.pop()]
+            return
+        if tag in ("td", "th") and self.tables and len(self.flows) > 1:
+            lines = self.flows.pop().done()
+            self.tables[-1][-1][-1][0].extend(lines)
+            return
+        if tag == "table" and self.tables:
+            for line in aligned(self.tables.pop()):
+                self.flows[-1].put(line)
+        if tag in BLOCKS:
+            self.flows[-1].block(0 if len(self.lists) > 1 and tag in ("ul", "ol") else BLOCKS[tag])
+        if tag == "pre":
+            self.pre -= 1
+        elif tag in ("ul", "ol", "menu", "dir") and self.lists:
+            self.lists.pop()
+        elif tag in ("dd", "blockquote"):
+            self.flows[-1].indent = self.flows[-1].indent[:-2]
+
+    def text(self) -> str:
+        self.close()
+        while self.open:
+            self.leave()
+        return "\n".join(self.flows[0].done())
+
+
+def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """Lines of a table: columns padded to their widest cell; long cells one after another instead."""
+    rows = [r for r in rows if any(lines for lines, _ in r)]
+    if any(len(line) > LONGEST_CELL for r in rows for lines, _ in r for line in lines):
+        return [line for r in rows for lines, _ in r for line in lines]
+    widths: list[int] = []
+    for row in rows:
+        at = 0
+        for lines, span in row:
+            widths += [0] * (at + span - len(widths))
+            if span == 1:
+                widths[at] = max([widths[at], *map(len, lines)])
+            at += span
+    out = []
+    for row in rows:
+        for k in range(max(len(lines) for lines, _ in row)):
+            line, at = "", 0
+            for lines, span in row:
+                width = sum(widths[at : at + span]) + 2 * (span - 1)
+                line += (lines[k] if k < len(lines) else "").ljust(width) + "  "
+                at += span
+            out.append(line.rstrip(" "))
+    return out
+
+
+def visible_text(page: str | None) -> str | None:
+    if page is None:
+        return None
+    builder = Page()
+    builder.feed(page)
+    return builder.text()
+
+
+@F.pandas_udf(T.StringType())
+def _visible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for pages in batches:
+        yield pages.map(visible_text)
+
+
+def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """Every row of ``pages`` with its visible text as a further (or replaced) column ``text``."""
+    return pages.withColumn(text, _visible(F.col(f"`{html}`")))

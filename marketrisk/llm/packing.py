@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketrisk.llm.ordering import hilbert_index, quantile_codes, running_offsets
 from marketrisk.llm.shared import materialised
@@ -94,7 +95,7 @@ def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
     return wanted.mapInArrow(encode, full)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), BITS))
 

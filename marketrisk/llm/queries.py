@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketrisk.llm import licenses, lm, mixing, packing, quality, secrets, sharding
+from marketrisk.llm import fingerprints, html, licenses, lm, mixing, neardup, packing, quality, secrets, sharding
 from marketrisk.llm.shared import documents
 from marketrisk.llm.sql import ORACLE  # noqa: F401
 
 
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text")
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "text")
     model = lm.trained(docs.filter(~F.col("held_out")))
     return lm.scored(docs, model)
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.grouped(documents(spark, sf_dir).select("doc_id", "text"))
+    doc_id = F.col("row.doc_id")
+    kept = F.coalesce(doc_id == F.col("component_id"), F.lit(False))
+    return groups.select(doc_id.alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, m = quality.judged(documents(spark, sf_dir).select("doc_id", "text", "source"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,7 +88,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": visible_text,
     "op2_bloom_lm": language_model,
+    "op3_minhash_dedup": near_duplicates,
+    "op4_rare_features": rare_features,
     "op5_quality_rules": quality_rules,
     "op6_hilbert_shards": sharded,
     "op7_secret_scan": secret_scan,

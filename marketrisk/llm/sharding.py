@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketrisk.llm.ordering import hilbert_index, quantile_codes, running_offsets
 from marketrisk.llm.shared import materialised, text_or_empty
@@ -29,7 +30,7 @@ def leading_number(value: Column) -> Column:
     return F.conv(head, 16, 10).cast("double")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), BITS))
 

@@ -45,9 +45,8 @@ def words(text: Column) -> Column:
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores before it until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
+    """``wanted``, with underscores before it until no column of ``df`` begins like that."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
         wanted = f"_{wanted}"
     return wanted
 
