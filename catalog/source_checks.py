@@ -139,7 +139,7 @@ def daily_written(spark, sf):
     absent = readers.read_if_present(spark, f"{folder}/nothing", "date string, close double")
     joined = readers.with_side_tables(back, {"vix": vix, "sentiment": absent})
     sinks.write_features(joined, f"{folder}/features", date="date")
-    return rounded(spark.read.parquet(f"{folder}/features").filter("year = 1998").drop("year"), 7)
+    return rounded(spark.read.parquet(f"{folder}/features").drop("year"), 7)
 
 
 QUERIES = {
@@ -263,7 +263,7 @@ c AS (
     )
     + S.final(
         "(SELECT session_date AS date, daily_close AS close, daily_volume, v AS close_vix FROM daily LEFT JOIN vix ON d = session_date"
-        " WHERE year(session_date) = 1998)",
+        ")",
         "date",
         7,
     ),

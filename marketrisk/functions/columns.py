@@ -67,8 +67,3 @@ def of_type(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return of_type(df, T.NumericType)
-
-
-def add(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    """One projection for a whole batch of new columns."""
-    return df.withColumns(exprs)

@@ -90,58 +90,16 @@ def rescaled_range(x, window, n, least) -> Column:
     return at_least(div(ranged, spread + F.lit(EPS)), x, frame, least)
 
 
-def with_running_frames(
-    df: DataFrame,
-    window: WindowSpec,
-    wanted: dict[str, tuple[str, str, int, int]],
-) -> DataFrame:
-    """Rolling means, sums and sample deviations at constant cost per row, for minute tables.
-
-    ``wanted`` maps a new name to (kind, column, rows, least), kind being mean, sum or std.  A
-    sliding frame would revisit every row of the frame for every row of the table; here running
-    sums are taken once per column and a frame is the difference of two of them.  Deviations
-    use values shifted by the partition's first one, which keeps the squares small.
+def rolling_frames(df: DataFrame, window: WindowSpec, wanted: dict[str, tuple[str, str, int, int]]) -> DataFrame:
+    """Rolling means, sums and sample deviations for minute tables.
+
+    ``wanted`` maps a new name to (kind, column, rows, least), kind being mean, sum or std.  Each frame is
+    computed from its own rows: no value outside it, however large or undefined, touches the result.
     """
-    columns = dict.fromkeys(c for _, c, _, _ in wanted.values())
-    squares = dict.fromkeys(c for kind, c, _, _ in wanted.values() if kind == "std")
-    run = so_far(window)
-    first = {f"_o_{c}": F.first(c, ignorenulls=True).over(run) for c in squares}
-    df = df.withColumns(first) if first else df
-    shifted = {c: F.col(c) - F.col(f"_o_{c}") if c in squares else F.col(c) for c in columns}
-    sums = {f"_n_{c}": F.count(c).over(run).cast("double") for c in columns}
-    sums |= {f"_s_{c}": F.coalesce(F.sum(shifted[c]).over(run), F.lit(0.0)) for c in columns}
-    sums |= {f"_q_{c}": F.coalesce(F.sum(shifted[c] * shifted[c]).over(run), F.lit(0.0)) for c in squares}
-    df = df.withColumns(sums)
-
-    pairs = dict.fromkeys((c, rows) for _, c, rows, _ in wanted.values())
-    inside = {}
-    for c, rows in pairs:
-        for part in ("n", "s", "q") if c in squares else ("n", "s"):
-            name = f"_{part}_{c}"
-            inside[f"{name}_{rows}"] = F.col(name) - F.coalesce(F.lag(name, rows).over(window), F.lit(0.0))
-    df = df.withColumns(inside)
-
-    def value(kind: str, c: str, rows: int, least: int) -> Column:
-        n, total = F.col(f"_n_{c}_{rows}"), F.col(f"_s_{c}_{rows}")
-        if kind == "std":
-            left = F.col(f"_q_{c}_{rows}") - F.try_divide(total * total, n)
-            return F.when(n >= max(least, 2), F.sqrt(F.greatest(F.try_divide(left, n - 1), F.lit(0.0))))
-        known = n >= max(least, 1)
-        if kind == "mean":
-            mean = F.try_divide(total, n)
-            return F.when(known, mean + F.col(f"_o_{c}") if c in squares else mean)
-        return F.when(known, total + F.col(f"_o_{c}") * n if c in squares else total)
-
-    made = {name: value(*spec) for name, spec in wanted.items()}
-    return df.withColumns(made).drop(*first, *sums, *inside)
-
-
-def sorted_quantile(values: Column, q: float) -> Column:
-    """Linear-interpolation quantile of an ascending array."""
-    rank = (F.size(values) - 1) * F.lit(q)
-    low = F.floor(rank).cast("int")
-    below, above = F.get(values, low), F.get(values, F.ceil(rank).cast("int"))
-    return below + (rank - low) * (above - below)
+    kinds = {"mean": rolling_mean, "sum": rolling_sum, "std": rolling_std}
+    return df.withColumns(
+        {name: kinds[kind](c, window, rows, max(least, 2) if kind == "std" else max(least, 1)) for name, (kind, c, rows, least) in wanted.items()}
+    )
 
 
 def percent_rank_in(x, frame: WindowSpec, least: int = 1) -> Column:
@@ -161,11 +119,6 @@ def average_rank(x, group: WindowSpec) -> Column:
     return F.when(col(x).isNotNull(), F.rank().over(ordered) + (ties - 1) / F.lit(2.0))
 
 
-def run_length(value: Column | str, df_window: WindowSpec, island: Column | str) -> Column:
-    """Length so far of the current run, given an island id."""
-    return F.row_number().over(df_window.partitionBy(col(island)))
-
-
 def carried(x, window: WindowSpec) -> Column:
     """Last known value up to the current row."""
     return F.last(col(x), ignorenulls=True).over(so_far(window))

@@ -24,6 +24,7 @@ from marketrisk.series import HALO, Series
 BLOCK_ROWS = 65_536
 SALTS = 32
 SKETCH_ACCURACY = 20_000
+BRACKET_BUCKETS = 256
 
 
 def positioned(
@@ -133,83 +134,89 @@ def join_per_group(
     return keyed.join(salted, [*group, "_salt"])
 
 
+def sketch_aggs(wanted: dict[str, tuple[str, float]]) -> list[Column]:
+    """Aggregates ``_s_<name>``: two values that enclose the wanted quantile of their column, but for one neighbour."""
+    slack = 2.0 / SKETCH_ACCURACY
+    return [
+        F.percentile_approx(
+            c, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(SKETCH_ACCURACY)
+        ).alias(f"_s_{n}")
+        for n, (c, q) in wanted.items()
+    ]
+
+
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]], salt_by: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group; ``wanted`` maps name to (column, level).
 
-    The first pass sketches, per group, two values that enclose the wanted ranks (a sketch
-    misses a rank by at most ``1 / SKETCH_ACCURACY`` of the group).  The second pass clamps
-    every value to that bracket and counts distinct clamped values, which combines on the map
-    side; what is left to order is about ``4 / SKETCH_ACCURACY`` of the group.
-
     Many groups need ``salt_by``, a column that differs between the rows of a group.  Without it
     the groups must be a handful (folds, say): their edges are broadcast.
     """
+    return quantiles_between(df, df.groupBy(*group).agg(*sketch_aggs(wanted)), group, wanted, salt_by)
+
+
+def quantiles_between(
+    df: DataFrame,
+    sketches: DataFrame,
+    group: Sequence[str],
+    wanted: dict[str, tuple[str, float]],
+    salt_by: str | None = None,
+) -> DataFrame:
+    """:func:`exact_quantiles` from the sketches of the same rows (one row per group).
+
+    A sketch misses a rank by at most ``1 / SKETCH_ACCURACY`` of the group, and not at all where that is
+    less than a rank.  So the two wanted ranks lie between its edges or are their next neighbours.
+    One pass counts the distinct values between the edges; of all values below (above) it keeps the count
+    and the largest (smallest).  That combines on the map side, and what is left to order is about
+    ``4 / SKETCH_ACCURACY`` of the group, in buckets of its range.  Groups of every size go this way.
+    """
     group = list(group)
-    slack = 2.0 / SKETCH_ACCURACY
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-
-    def edge(name: str, at: int, open_ended: bool) -> Column:
-        side = low if at == 0 else high
-        known = side if open_ended else F.get(F.col(f"_s_{name}"), at)
-        # Below SKETCH_ACCURACY values the slack is less than a rank: keep every value.
-        return F.when(F.col("_rows") < SKETCH_ACCURACY, side).otherwise(known).alias(f"_e{at}_{name}")
-
-    sketches = df.groupBy(*group).agg(
-        F.least(*[F.count(c) for c, _ in wanted.values()], F.count(F.lit(1))).alias("_rows"),
-        *[
-            F.percentile_approx(
-                c,
-                F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))),
-                F.lit(SKETCH_ACCURACY),
-            ).alias(f"_s_{n}")
-            for n, (c, q) in wanted.items()
-        ]
-    )
-    edges = sketches.select(
-        *group,
-        *[edge(n, 0, q - slack <= 0) for n, (_, q) in wanted.items()],
-        *[edge(n, 1, q + slack >= 1) for n, (_, q) in wanted.items()],
-    )
+    edges = sketches.select(*group, *[f"_s_{n}" for n in wanted])
     if not group:
         joined = df.crossJoin(F.broadcast(edges))  # exactly one row of edges
     elif salt_by is None:
         joined = df.join(F.broadcast(edges), group)
     else:
         joined = join_per_group(df, edges, group, salt_by)
-    clamped = [
-        F.when(
-            F.col(c).isNotNull(),
+
+    def placed(n: str, c: str) -> Column:
+        value, low, high = F.col(c), F.get(F.col(f"_s_{n}"), 0), F.get(F.col(f"_s_{n}"), 1)
+        inside = F.coalesce(F.floor((value - low) / F.nullif(high - low, F.lit(0)) * BRACKET_BUCKETS), F.lit(0))
+        bucket = F.when(value < low, -1).when(value > high, BRACKET_BUCKETS + 1).otherwise(inside).cast("int")
+        return F.when(
+            value.isNotNull(),
             F.struct(
                 F.lit(n).alias("name"),
-                F.when(F.col(c) < F.col(f"_e0_{n}"), low)
-                .when(F.col(c) > F.col(f"_e1_{n}"), high)
-                .otherwise(F.col(c))
-                .alias("value"),
+                bucket.alias("bucket"),
+                F.when(value.between(low, high), value).alias("inside"),
+                value.alias("value"),
             ),
         )
-        for n, (c, _) in wanted.items()
-    ]
+
+    name, bucket = F.col("_m.name").alias("_name"), F.col("_m.bucket").alias("_at")
     counted = (
-        joined.select(*group, F.explode(F.array(*clamped)).alias("_m"))
+        joined.select(*group, F.explode(F.array(*[placed(n, c) for n, (c, _) in wanted.items()])).alias("_m"))
         .filter(F.col("_m").isNotNull())
-        .groupBy(*group, F.col("_m.name").alias("_name"), F.col("_m.value").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*group, name, bucket, F.col("_m.inside").alias("_inside"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max("_m.value").alias("_top"),
+            F.min("_m.value").alias("_bottom"),
+        )
+        .withColumn("_value", F.when(F.col("_at") < 0, F.col("_top")).otherwise(F.col("_bottom")))
     )
     level = F.element_at(
         F.create_map(*[x for n, (_, q) in wanted.items() for x in (F.lit(n), F.lit(q))]), F.col("_name")
     )
-    one = Window.partitionBy(*group, "_name")
-    ranked = counted.select(
-        *group,
-        "_name",
-        "_value",
-        F.sum("_n").over(one.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        ((F.sum("_n").over(one) - 1) * level).alias("_rank"),
+    ranked = running_totals(
+        counted.select(*group, "_name", "_at", "_value", "_n"), [*group, "_name"], [F.col("_value")], F.col("_at"), {"_upto": "_n"}
     )
+    # Runs of a group are ordered: the wanted values are the first whose running count passes the rank.
+    totals = counted.groupBy(*group, "_name").agg(((F.sum("_n") - 1) * level).alias("_rank"))
     picked = (
-        ranked.groupBy(*group, "_name", "_rank")
+        ranked.join(totals, [*group, "_name"])
+        .groupBy(*group, "_name", "_rank")
         .agg(
             F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_value"))).alias("_lo"),
             F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_value"))).alias("_hi"),
@@ -219,16 +226,3 @@ def exact_quantiles(
     return picked.groupBy(*group).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in wanted]
     )
-
-
-def with_session_quantiles(
-    daily: DataFrame, rows: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]], salt_by: str
-) -> DataFrame:
-    """Join :func:`exact_quantiles` of ``rows`` to a table that has them only for small groups."""
-    large = exact_quantiles(rows, group, wanted, salt_by)
-    large = large.select(*group, *[F.col(n).alias(f"_large_{n}") for n in wanted])
-    return (
-        daily.join(large, list(group), "left")
-        .withColumns({n: F.coalesce(F.col(n), F.col(f"_large_{n}")) for n in wanted})
-        .drop(*[f"_large_{n}" for n in wanted])
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, yes
-from marketrisk.functions.frames import so_far, with_running_frames
+from marketrisk.functions.frames import so_far, rolling_frames
 from marketrisk.functions.ordered import exact_quantiles, running_totals
 from marketrisk.series import Series
 
@@ -31,7 +31,7 @@ def with_return_stats(df: DataFrame, series: Series, ret: str = "minute_return")
         }
     )
     wanted = {f"{ret}_ma30": ("mean", ret, 30, 10), f"{ret}_std30": ("std", ret, 30, 10)}
-    return with_running_frames(out, series.minutes(), wanted)
+    return rolling_frames(out, series.minutes(), wanted)
 
 
 def with_cumulative_return(

@@ -16,7 +16,7 @@ from marketrisk.functions.frames import (
     rolling_quantile,
     rolling_slope,
     so_far,
-    with_running_frames,
+    rolling_frames,
 )
 from marketrisk.functions.ordered import join_per_group
 from marketrisk.series import Series, owned
@@ -38,7 +38,7 @@ def with_minute_liquidity(df: DataFrame, series: Series, ret: str = "minute_retu
             "liq_kyle_lambda": div(r, root(volume) + 1),
         }
     )
-    return with_running_frames(out, series.minutes(), {"liq_trade_intensity": ("std", "ohlcv_volume", 30, 10)})
+    return rolling_frames(out, series.minutes(), {"liq_trade_intensity": ("std", "ohlcv_volume", 30, 10)})
 
 
 def daily_aggs() -> list[Column]:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, prefixed, total
-from marketrisk.functions.frames import carried, rolling_mean, sorted_quantile, with_running_frames
-from marketrisk.functions.ordered import SKETCH_ACCURACY, with_session_quantiles
+from marketrisk.functions.frames import carried, rolling_mean, rolling_frames
+from marketrisk.functions.ordered import quantiles_between, sketch_aggs
 from marketrisk.series import Series, owned
 
 LOOK_BACKS = (30, 60, 120)
@@ -73,7 +73,7 @@ def with_rolling_quotes(df: DataFrame, series: Series, look_backs: Sequence[int]
         wanted[f"iex_spread_vol_{n}m"] = ("std", "iex_spread_rel", n, least)
         wanted[f"iex_imbalance_ma_{n}m"] = ("mean", "iex_depth_imbalance", n, least)
         wanted[f"iex_quote_intensity_{n}m"] = ("sum", "_mid_step", n, least)
-    return with_running_frames(df, series.minutes(), wanted).drop("_mid_step")
+    return rolling_frames(df, series.minutes(), wanted).drop("_mid_step")
 
 
 def minute_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
@@ -113,29 +113,21 @@ def extra_aggs(series: Series) -> list[Column]:
     ]
 
 
-def microstructure_daily(
-    minutes: DataFrame, series: Series, size: str | None = None, look_backs: Sequence[int] = LOOK_BACKS
-) -> DataFrame:
-    """One row per session, in one aggregation.
-
-    A session of known minutes holds a few hundred rows, so its quantiles come from sorted
-    value arrays.  ``size`` names the session-size column of a blocked table, whose sessions
-    may be of any size: those above SKETCH_ACCURACY rows take the quantiles from a second,
-    fully distributed pass over just these sessions.
-    """
+def microstructure_daily(minutes: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
+    """One row per session: one aggregation, and a second pass for the exact quantiles that it has bracketed."""
     if "is_last_hour" not in minutes.columns:
         minutes = minutes.withColumn("is_last_hour", F.lit(None).cast("boolean"))
     rows = owned(minute_quotes(minutes, series, look_backs), series)
     aggs, quantiles = daily_aggs(prefixed(rows, "iex_"))
-    small = F.lit(True) if size is None else F.col(size) < SKETCH_ACCURACY
-    values = {n: F.sort_array(F.collect_list(F.when(small, F.col(c)))).alias(n) for n, (c, _) in quantiles.items()}
-    daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *values.values())
-    daily = daily.withColumns({n: sorted_quantile(F.col(n), q) for n, (_, q) in quantiles.items()})
-    if size is None:
-        return daily
-    long_sessions = minutes.filter(F.col(size) >= SKETCH_ACCURACY)
-    long_rows = owned(minute_quotes(long_sessions, series, look_backs), series)
-    return with_session_quantiles(daily, long_rows, series.by_session, quantiles, salt_by=series.order)
+    daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *sketch_aggs(quantiles))
+    return with_quantiles(daily, rows, series, quantiles)
+
+
+def with_quantiles(daily: DataFrame, rows: DataFrame, series: Series, quantiles: dict[str, tuple[str, float]]) -> DataFrame:
+    """Replace the sketches of a session table by exact quantiles."""
+    narrow = rows.select(*series.by_session, series.order, *dict.fromkeys(c for c, _ in quantiles.values()))
+    exact = quantiles_between(narrow, daily, series.by_session, quantiles, salt_by=series.order)
+    return daily.drop(*[f"_s_{n}" for n in quantiles]).join(exact, series.by_session, "left")
 
 
 def filled(daily: DataFrame, series: Series, how: str = "forward_fill") -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import prefixed, total
-from marketrisk.functions.frames import sorted_quantile
 from marketrisk.functions.lineage import checkpointed
-from marketrisk.functions.ordered import SKETCH_ACCURACY, with_session_quantiles
+from marketrisk.functions.ordered import sketch_aggs
 from marketrisk.heads.classifiers import FEATURES, assembled, elastic_net_logistic, random_forest
 from marketrisk.heads.stacking import fit_stack, out_of_fold
 from marketrisk.operators import events, folds, impute, intraday, liquidity, macro, metrics, path, realized, regime
@@ -37,8 +36,6 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
     """All per-session aggregates in one aggregation, plus the two that need a second look."""
     rows = owned(minute_columns(minutes, series), series)
     quote_aggs, quantiles = quotes.daily_aggs(prefixed(rows, "iex_"))
-    small = F.col(size) < SKETCH_ACCURACY
-    values = [F.sort_array(F.collect_list(F.when(small, F.col(c)))).alias(n) for n, (c, _) in quantiles.items()]
     daily = rows.groupBy(*series.by_session).agg(
         *realized.variation_aggs(),
         *realized.moment_aggs(),
@@ -48,12 +45,9 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
         *liquidity.daily_aggs(),
         *quote_aggs,
         *quotes.extra_aggs(series),
-        *values,
+        *sketch_aggs(quantiles),
     )
-    daily = daily.withColumns({n: sorted_quantile(F.col(n), q) for n, (_, q) in quantiles.items()})
-    long_sessions = minutes.filter(F.col(size) >= SKETCH_ACCURACY)
-    long_rows = owned(quotes.minute_quotes(long_sessions, series), series)
-    daily = with_session_quantiles(daily, long_rows, series.by_session, quantiles, salt_by=series.order)
+    daily = quotes.with_quantiles(daily, rows, series, quantiles)
     bars = owned(minutes, series)
     for part in (liquidity.volume_profile(bars, series), liquidity.vwap_deviation(bars, series)):
         daily = daily.join(part, series.by_session, "left")

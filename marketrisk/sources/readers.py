@@ -32,8 +32,10 @@ def prepared(raw: DataFrame) -> DataFrame:
 
 
 def read_daily_csv(spark: SparkSession, path: str, schema: T.StructType | str, date: str = "date") -> DataFrame:
-    """Daily CSV with an explicit schema; order is left to the windows that need it."""
-    df = spark.read.csv(path, header=True, schema=schema, nullValue="NA")
+    """Daily CSV with an explicit schema, read as text and typed with the null tokens; order is left to the windows that need it."""
+    wanted = spark.createDataFrame([], schema).schema
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+    df = typed(spark.read.csv(path, header=True, schema=as_text), wanted)
     return df.withColumn(date, F.to_date(date))
 
 

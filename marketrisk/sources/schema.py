@@ -39,7 +39,7 @@ def untokened(c: Column | str, tokens: Sequence[str] = NULL_TOKENS) -> Column:
 
 
 def typed(df: DataFrame, schema: T.StructType = MINUTE_SCHEMA) -> DataFrame:
-    """Cast known columns, bad values to null, booleans null to false; other columns pass through."""
+    """Cast known columns, bad values and NaN to null, booleans null to false; other columns pass through."""
     kinds = {f.name: f.dataType for f in schema.fields}
     given = {f.name: f.dataType for f in df.schema.fields}
 
@@ -48,6 +48,8 @@ def typed(df: DataFrame, schema: T.StructType = MINUTE_SCHEMA) -> DataFrame:
             return F.col(name)
         source = untokened(name) if isinstance(given[name], T.StringType) else F.col(name)
         value = source if given[name] == kinds[name] else source.try_cast(kinds[name])
+        if isinstance(kinds[name], T.DoubleType | T.FloatType):
+            value = F.when(~F.isnan(value), value)  # a NaN would spoil every sum it meets
         if isinstance(kinds[name], T.BooleanType):
             value = F.coalesce(value, F.lit(False))
         return value.alias(name)
