@@ -13,10 +13,10 @@ from marketrisk.functions.frames import (
     average_rank,
     percent_rank_in,
     rolling_mean,
+    rolling_frames,
     rolling_quantile,
     rolling_slope,
     so_far,
-    rolling_frames,
 )
 from marketrisk.functions.ordered import join_per_group
 from marketrisk.series import Series, owned
@@ -63,9 +63,13 @@ def liquidity_daily(minutes: DataFrame, series: Series) -> DataFrame:
     return rows.groupBy(*series.by_session).agg(*daily_aggs())
 
 
-def volume_profile(minutes: DataFrame, series: Series, buckets: int = BUCKETS, session_minutes: int = 390) -> DataFrame:
+def volume_profile(
+    minutes: DataFrame, series: Series, buckets: int = BUCKETS, session_minutes: int | Column = 390
+) -> DataFrame:
     """Volume of the first and last time bucket and the entropy of the bucket shares.
 
+    ``session_minutes`` is the sessions' length, a column if it differs between them.
+
     Two-stage aggregation; the entropy follows from the sums of v and v ln v, so no second
     look at the session total is needed:  -sum (v/V) ln(v/V) = ln V - sum(v ln v) / V.
     """

@@ -27,13 +27,13 @@ def minute_columns(minutes: DataFrame, series: Series) -> DataFrame:
     out = intraday.with_minute_returns(minutes, series)
     out = path.with_sign_flips(realized.with_lagged_abs(out, series), series)
     out = quotes.minute_quotes(liquidity.with_minute_liquidity(out, series), series)
-    if "is_last_hour" not in out.columns:
-        out = out.withColumn("is_last_hour", F.lit(None).cast("boolean"))
     return out
 
 
 def session_table(minutes: DataFrame, series: Series, size: str = "session_rows") -> DataFrame:
     """All per-session aggregates in one aggregation, plus the two that need a second look."""
+    if "is_last_hour" not in minutes.columns:
+        minutes = minutes.withColumn("is_last_hour", F.col(series.order) > F.col(size) - 60)
     rows = owned(minute_columns(minutes, series), series)
     quote_aggs, quantiles = quotes.daily_aggs(prefixed(rows, "iex_"))
     daily = rows.groupBy(*series.by_session).agg(
@@ -49,7 +49,8 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
     )
     daily = quotes.with_quantiles(daily, rows, series, quantiles)
     bars = owned(minutes, series)
-    for part in (liquidity.volume_profile(bars, series), liquidity.vwap_deviation(bars, series)):
+    profile = liquidity.volume_profile(bars, series, session_minutes=F.col(size))
+    for part in (profile, liquidity.vwap_deviation(bars, series)):
         daily = daily.join(part, series.by_session, "left")
     daily = daily.withColumns(
         {
