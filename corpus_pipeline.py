@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketrisk.llm import mixing, neardup, packing, quality, secrets
+from marketrisk.llm import mixing, neardup, packing, quality, secretscan
 from marketrisk.llm.shared import documents, materialised
 
 
@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets; every document stays."""
-    return secrets.redacted(docs)
+    return secretscan.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,27 +34,27 @@ GATE = (
 LICENSES = (
     ("mit", "mit", "(expat )?mit( expat)?", "mit"),
     ("mit-0", "mit", "mit( no attribution| 0)", "mit 0"),
-    ("apache-1.1", "apache", "apache( software)?( license)?( version| v)? 1 1", "apache 1 1"),
+    ("apache-1.1", "apache", "apache( software)?( license)?( version)?( v ?| )1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache( software)?( license)?( version)?( 2 0| 2| v2( 0)?)", "apache 2 0"),
     ("apache", "apache", "apache( software)?", "apache"),
-    ("gpl-2.0", "general public", "(gnu )?general public license( version| v)? 2( 0)?", "gpl 2 0( only| or later)?"),
-    ("gpl-3.0", "general public", "(gnu )?general public license( version| v)? 3( 0)?", "gpl 3 0( only| or later)?"),
+    ("gpl-2.0", "general public", "(gnu )?general public license( version)?( v ?| )2( 0)?", "gpl 2 0( only| or later)?"),
+    ("gpl-3.0", "general public", "(gnu )?general public license( version)?( v ?| )3( 0)?", "gpl 3 0( only| or later)?"),
     ("gpl", "general public", "(gnu )?general public", "gpl"),
     ("gpl-2.0", "gpl", "(gnu )?gpl( version)?( 2| v2|v2)( 0)?", "gpl2"),
     ("gpl-3.0", "gpl", "(gnu )?gpl( version)?( 3| v3|v3)( 0)?", "gpl3"),
-    ("lgpl-2.1", "lesser", "(gnu )?(lesser|library) general public license( version| v)? 2 1", "lgpl 2 1( only| or later)?"),
-    ("lgpl-3.0", "lesser", "(gnu )?lesser general public license( version| v)? 3( 0)?", "lgpl 3 0( only| or later)?"),
+    ("lgpl-2.1", "lesser", "(gnu )?(lesser|library) general public license( version)?( v ?| )2 1", "lgpl 2 1( only| or later)?"),
+    ("lgpl-3.0", "lesser", "(gnu )?lesser general public license( version)?( v ?| )3( 0)?", "lgpl 3 0( only| or later)?"),
     ("lgpl", "lesser", "(gnu )?(lesser|library) general public", "lgpl"),
-    ("agpl-3.0", "affero", "(gnu )?affero general public license( version| v)? 3( 0)?", "agpl 3 0( only| or later)?"),
+    ("agpl-3.0", "affero", "(gnu )?affero general public license( version)?( v ?| )3( 0)?", "agpl 3 0( only| or later)?"),
     ("agpl", "affero", "(gnu )?affero general public", "agpl"),
     ("bsd-2-clause", "bsd", "(2 clause|simplified|freebsd) bsd|bsd( 2 clause)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(3 clause|new|revised|modified) bsd|bsd( 3 clause)", "bsd 3 clause"),
     ("bsd", "bsd", "bsd", "bsd"),
-    ("mpl-1.1", "mozilla", "mozilla public license( version| v)? 1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license( version| v)? 2 0", "mpl 2 0"),
+    ("mpl-1.1", "mozilla", "mozilla public license( version)?( v ?| )1 1", "mpl 1 1"),
+    ("mpl-2.0", "mozilla", "mozilla public license( version)?( v ?| )2 0", "mpl 2 0"),
     ("mpl", "mozilla", "mozilla public", "mpl"),
-    ("epl-1.0", "eclipse", "eclipse public license( version| v)? 1 0", "epl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public license( version| v)? 2 0", "epl 2 0"),
+    ("epl-1.0", "eclipse", "eclipse public license( version)?( v ?| )1 0", "epl 1 0"),
+    ("epl-2.0", "eclipse", "eclipse public license( version)?( v ?| )2 0", "epl 2 0"),
     ("epl", "eclipse", "eclipse public", "epl"),
     ("eupl", "european union", "european union public( license)?( version| v)?( 1 [12])?", "eupl( 1 [12])?"),
     ("cddl", "common development", "common development and distribution", "cddl( 1 [01])?"),
@@ -84,7 +84,7 @@ LICENSES = (
     ("fdl", "free documentation", "(gnu )?free documentation( license)?( version| v)?( 1 [123])?", "gfdl( 1 [123])?"),
 )
 
-#: Forms of naming a license, most telling first: expression and confidence.
+#: Forms of naming a license, most telling first: expression and confidence.  ``full`` is a name that says "license" itself.
 FORMS = (
     ("spdx license identifier {short}", 1.0),
     ("(this|the) (work|file|program|project|software|code|library|package|document|source code) is "
@@ -92,6 +92,7 @@ FORMS = (
     ("(licensed|released|distributed|published|available) under (the )?(terms (and conditions )?of )?(the )?({name})( licen[sc]e)?", 0.95),
     ("(subject to|governed by|covered by|under) the (terms of )?(the )?({name}) licen[sc]e", 0.9),
     ("licen[sc]e ({name})", 0.8),
+    ("{full}", 0.75),
     ("({name}) licen[sc]e", 0.7),
 )
 
@@ -115,8 +116,10 @@ def rules() -> list[tuple[str, str, str, float]]:
     table = [(kw, body, label, sure) for label, kw, body, sure in BODIES]
     for form, sure in FORMS:
         for label, keyword, name, short in LICENSES:
+            if form == "{full}" and " license" not in name:
+                continue
             gate = "spdx" if "{short}" in form else keyword
-            table.append((gate, form.format(name=name, short=short), label, sure))
+            table.append((gate, form.format(name=name, short=short, full=name), label, sure))
     return table
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketrisk.llm import fingerprints, html, licenses, lm, mixing, neardup, packing, quality, secrets, sharding
+from marketrisk.llm import fingerprints, licenses, lm, mixing, neardup, packing, pages, quality, secretscan, sharding
 from marketrisk.llm.shared import documents
 from marketrisk.llm.sql import ORACLE  # noqa: F401
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text")
+    return pages.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text")
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,18 +43,18 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, m = secrets.found(documents(spark, sf_dir).select("doc_id", "text"))
+    table, m = secretscan.found(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.col(m)
     base = F.filter(spans, lambda s: s["kind"] < 3)
 
     def count(kind: int) -> Column:
-        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secretscan.KINDS[kind]}")
 
     return table.select(
         "doc_id",
         *[count(kind) for kind in range(3)],
-        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-        secrets.written(spans).alias("spans"),
+        F.sha2(secretscan.written(base), 256).alias("base_sha256"),
+        secretscan.written(spans).alias("spans"),
         count(3),
     )
 
