@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketrisk.functions.columns import EPS, col, div
+from marketrisk.series import Series
 
 
 def last(window: WindowSpec, n: int) -> WindowSpec:
@@ -102,6 +105,32 @@ def rolling_frames(df: DataFrame, window: WindowSpec, wanted: dict[str, tuple[st
     )
 
 
+def with_expanding(df: DataFrame, series: Series, wanted: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """Exact statistics of each day among its instrument's days so far, in n log n steps.
+
+    ``wanted`` maps a new name to (column, level): the linear-interpolation quantile of the column at that level, or, for
+    level None, the current value's average-tie rank over the number of values.  A window would order all days before it for every day.
+    One task takes one instrument's days: a date and the wanted columns, one row per calendar day.
+    """
+    keys, columns = list(series.keys), list(dict.fromkeys(c for c, _ in wanted.values()))
+    names = {c: f"_x_{k}" for k, c in enumerate(columns)}
+    narrow = df.select(*series.by_session, *[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    fields = [f for f in narrow.schema.fields if f.name in series.by_session]
+    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in wanted]])
+    session = series.session
+
+    def so_far_of(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values(session)
+        made = {}
+        for name, (column, level) in wanted.items():
+            x = days[names[column]].astype("float64").expanding(1)
+            made[name] = x.rank(method="average", pct=True) if level is None else x.quantile(level)
+        return days[[*keys, session]].assign(**made)
+
+    found = narrow.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInPandas(so_far_of, schema)
+    return df.join(found, series.by_session, "left")
+
+
 def percent_rank_in(x, frame: WindowSpec, least: int = 1) -> Column:
     """Average-tie rank of the current value among the frame's values, divided by their count."""
     x = col(x)

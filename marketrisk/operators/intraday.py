@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, yes
-from marketrisk.functions.frames import so_far, rolling_frames
+from marketrisk.functions.frames import rolling_frames, so_far
 from marketrisk.functions.ordered import exact_quantiles, running_totals
 from marketrisk.series import Series
 

@@ -11,12 +11,11 @@ from marketrisk.functions.columns import div, ln, root, total
 from marketrisk.functions.decay import STEP, numbered
 from marketrisk.functions.frames import (
     average_rank,
-    percent_rank_in,
     rolling_mean,
     rolling_frames,
     rolling_quantile,
     rolling_slope,
-    so_far,
+    with_expanding,
 )
 from marketrisk.functions.ordered import join_per_group
 from marketrisk.series import Series, owned
@@ -135,18 +134,19 @@ def with_relative(daily: DataFrame, series: Series, point_in_time: bool = True)
     """Volume percentile (so far, or whole history), abnormal volume and liquidity regime."""
     days, volume, dollars = series.days(), F.col("liq_daily_volume"), F.col("liq_daily_dollar_volume")
     if point_in_time:
-        percentile = percent_rank_in(volume, so_far(days))
+        daily = with_expanding(daily, series, {"_rank": ("liq_daily_volume", None)})
     else:
-        percentile = average_rank(volume, series.whole()) / F.count(F.lit(1)).over(series.whole())
+        whole = average_rank(volume, series.whole()) / F.count(F.lit(1)).over(series.whole())
+        daily = daily.withColumn("_rank", whole)
     out = daily.withColumn("_ma20", rolling_mean(volume, days, 20, 10))
     third = lambda q: rolling_quantile(dollars, q, days, 60, 30)
     return out.withColumns(
         {
-            "liq_volume_percentile": percentile,
+            "liq_volume_percentile": F.when(volume.isNotNull(), F.col("_rank")),
             "liq_abnormal_volume": volume > rolling_quantile("_ma20", 0.95, days, 60, 30),
             "liq_regime": F.when(dollars > third(0.67), 2).when(dollars > third(0.33), 1).otherwise(0),
         }
-    ).drop("_ma20")
+    ).drop("_ma20", "_rank")
 
 
 def liquidity_features(

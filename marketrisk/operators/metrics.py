@@ -16,7 +16,7 @@ from marketrisk.functions.ordered import exact_quantiles, running_totals
 from marketrisk.operators.decision import CLASSES, UTILITY, utility_of
 from marketrisk.series import Series
 
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 256
 CELLS = [(t, p) for t in range(3) for p in range(3)]
 
 
@@ -92,8 +92,8 @@ def per_class_scores(df: DataFrame, truth: str = "y_true") -> DataFrame:
 def ranked_scores(df: DataFrame, truth: str = "y_true") -> DataFrame:
     """Distinct scores per class with running true and total counts from the top score down.
 
-    Scores are probabilities, so 4096 equal buckets order them; equal scores are merged before
-    anything is ordered.
+    Equal scores are merged before anything is ordered.  Buckets end at quantiles of the distinct scores, one
+    row of edges per class, so crowded scores are split as evenly as spread ones.
     """
     distinct = (
         per_class_scores(df, truth)
@@ -101,15 +101,17 @@ def ranked_scores(df: DataFrame, truth: str = "y_true") -> DataFrame:
         .agg(F.sum("positive").alias("at_true"), F.count(F.lit(1)).alias("at_all"))
     )
     totals = distinct.groupBy("class").agg(F.sum("at_true").alias("P"), F.sum("at_all").alias("N"))
+    levels = [k / SCORE_BUCKETS for k in range(1, SCORE_BUCKETS)]
+    edges = distinct.groupBy("class").agg(F.percentile_approx("score", levels, 100 * SCORE_BUCKETS).alias("_edges"))
     ranked = running_totals(
-        distinct,
+        distinct.join(F.broadcast(edges), "class"),  # one row per class
         ["class"],
         [F.col("score").desc()],
-        F.floor(F.col("score") * SCORE_BUCKETS),
+        F.size(F.filter("_edges", lambda edge: edge <= F.col("score"))),
         {"true_so_far": "at_true", "all_so_far": "at_all"},
         bucket_descending=True,
     )
-    return ranked.join(F.broadcast(totals), "class")  # one row per class
+    return ranked.drop("_edges").join(F.broadcast(totals), "class")  # one row per class
 
 
 def pr_curve(df: DataFrame, truth: str = "y_true") -> DataFrame:

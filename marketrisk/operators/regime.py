@@ -21,6 +21,7 @@ from marketrisk.functions.frames import (
     rolling_quantile,
     rolling_sum,
     so_far,
+    with_expanding,
 )
 from marketrisk.series import Series
 
@@ -72,7 +73,9 @@ def with_variance_ratio(
     in_year = Window.partitionBy(*series.keys, year)
     levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     if point_in_time:
-        edges = F.percentile(vr, levels).over(so_far(days))
+        names = [f"_edge{i}" for i in range(1, bins)]
+        out = with_expanding(out, series, {n: ("reg_vr_20d", i / bins) for i, n in enumerate(names, 1)})
+        edges = F.when(F.col(names[0]).isNotNull(), F.array(*names))
         frame = so_far(in_year.orderBy(series.session))
         rank = percent_rank_in(vr, frame) * F.count(vr).over(frame)
     else:
@@ -81,7 +84,7 @@ def with_variance_ratio(
     return (
         out.withColumns({"_edges": edges, "reg_vr_percentile": rank})
         .withColumn("reg_vr_quintile", quantile_bucket(vr, F.col("_edges"), bins - 1))
-        .drop("_edges")
+        .drop("_edges", *[f"_edge{i}" for i in range(1, bins)])
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import EPS, div, ln, mean_of, root, yes
 from marketrisk.functions.decay import with_ewm_mean
-from marketrisk.functions.frames import carried, rolling_mean, rolling_std, so_far
+from marketrisk.functions.frames import carried, rolling_mean, rolling_std, so_far, with_expanding
 from marketrisk.series import Series
 
 GAMMAS = (1.5, 2.0, 2.5, 3.0)
@@ -179,8 +179,9 @@ def with_quantile_targets(
     days = series.days()
     seen = so_far(days)
     known = F.count("log_return").over(seen) >= least
-    grid = F.array(*[F.lit(q) for q in levels])
-    out = daily.withColumn("_q", F.when(known, F.percentile("log_return", grid).over(seen)))
+    names = [f"_q{i}" for i in range(len(levels))]
+    out = with_expanding(daily, series, {n: ("log_return", q) for n, q in zip(names, levels, strict=True)})
+    out = out.withColumn("_q", F.when(known, F.array(*names))).drop(*names)
     ahead = F.lead("log_return").over(days)
     made = {}
     for i, q in enumerate(levels):

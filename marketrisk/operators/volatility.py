@@ -15,7 +15,7 @@ from marketrisk.functions.frames import (
     rolling_min,
     rolling_quantile,
     rolling_std,
-    so_far,
+    with_expanding,
 )
 from marketrisk.series import Series
 
@@ -29,7 +29,10 @@ def with_transforms(daily: DataFrame, series: Series, point_in_time: bool = True
     or of the whole history with ``point_in_time=False``.
     """
     rv, bv, jv = F.col("RV_daily"), F.col("BV_daily"), F.col("JV_daily")
-    seen = so_far(series.days()) if point_in_time else series.whole()
+    if point_in_time:
+        daily = with_expanding(daily, series, {"_q95": ("RV_daily", 0.95)})
+    else:
+        daily = daily.withColumn("_q95", F.percentile(rv, F.lit(0.95)).over(series.whole()))
     return daily.withColumns(
         {
             "vr_log_rv": ln(rv),
@@ -39,13 +42,13 @@ def with_transforms(daily: DataFrame, series: Series, point_in_time: bool = True
             "vr_bvol": root(bv),
             "vr_jvol": root(jv),
             "vr_jump_ratio": div(jv, rv + EPS),
-            "vr_jump_flag": flag(jv > F.percentile(rv, F.lit(0.95)).over(seen)),
+            "vr_jump_flag": flag(jv > F.col("_q95")),
             "vr_continuous_ratio": div(bv, rv + EPS),
             "vr_updown_ratio": div("upside_var", F.col("downside_var") + EPS),
             "vr_skew": F.col("realized_skew"),
             "vr_kurt": F.col("realized_kurt"),
         }
-    )
+    ).drop("_q95")
 
 
 def with_decayed(daily: DataFrame, series: Series, alpha: float = 0.06) -> DataFrame:
