@@ -16,7 +16,7 @@ count and are scored each.  An empty table gives an empty table; with no trainin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -29,10 +29,10 @@ from marketrisk.llm.shared import materialised, text_or_empty
 from marketrisk.llm.textbytes import chunks, mix, pair_hashes, utf8, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-BITS_PER_ENTRY, PROBES = 14, 10
+BITS_PER_ENTRY, PROBES = 12, 8
 SEGMENT_TEXT = 4 << 20
 MAX_BROADCAST = 512 << 20
-FLUSH_WORDS = 4_000_000
+FLUSH_WORDS = 1_000_000
 #: Interpolation weights of the pair model, evenly mixed over whole texts.
 WEIGHTS = (0.0, 0.1, 0.4, 0.7, 0.95)
 _U = np.uint64
@@ -79,15 +79,44 @@ class Segments:
     segments: int
     first: int
     words: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # up to 254 in a byte; 255 points to the few large ones
+    large_at: np.ndarray
+    large: np.ndarray
     bits: np.ndarray
     starts: np.ndarray
 
+    @classmethod
+    def of(cls, rows: Iterable[tuple], sizes: list[tuple[int, int, int]], segments: int, first: int, last: int) -> Segments:
+        """From rows of (segment, words, counts, bits) in any order, one at a time; ``sizes`` holds each segment's
+        number of words and bytes of bits.  Absent segments are empty."""
+        n_words, n_bytes = np.zeros(last - first, np.int64), np.full(last - first, 8, np.int64)
+        for segment, words, length in sizes:
+            n_words[segment - first], n_bytes[segment - first] = words, length
+        word_at, starts = (np.concatenate([[0], np.cumsum(n)]) for n in (n_words, n_bytes))
+        words, small = np.empty(word_at[-1], np.uint64), np.empty(word_at[-1], np.uint8)
+        bits = np.zeros(starts[-1], np.uint8)
+        large = []
+        for segment, some_words, counts, some_bits in rows:
+            k = segment - first
+            own = np.frombuffer(counts, np.int64)
+            words[word_at[k] : word_at[k + 1]] = np.frombuffer(some_words, np.uint64)
+            small[word_at[k] : word_at[k + 1]] = np.minimum(own, 255)
+            bits[starts[k] : starts[k + 1]] = np.frombuffer(some_bits, np.uint8)
+            over = np.flatnonzero(own >= 255)
+            large.append((word_at[k] + over, own[over]))
+        large.sort(key=lambda pair: pair[0][0] if len(pair[0]) else -1)
+        none = np.empty(0, np.int64)
+        large_at, large_counts = (np.concatenate([none, *[pair[j] for pair in large]]) for j in (0, 1))
+        return cls(segments, first, words, small, large_at, large_counts, bits, starts)
+
     def word_counts(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+        found = np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+        over = np.flatnonzero(found == 255)
+        found[over] = self.large[np.searchsorted(self.large_at, at[over])]
+        return found
 
     def pair_levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which every level's probes succeed."""
@@ -228,33 +257,17 @@ def trained(docs: DataFrame) -> DataFrame:
     return materialised(table.withColumn("segments", F.lit(segments)))
 
 
-def _packed(rows: list, segments: int, first: int = 0, last: int | None = None) -> Segments:
-    """Segments first to last (all by default) from rows of (segment, words, counts, bits); absent ones are empty."""
-    last = segments if last is None else last
-    by = {r[0]: r for r in rows}
-    empty = np.zeros(8, np.uint8).tobytes()
-    parts = [by.get(s, (s, b"", b"", empty)) for s in range(first, last)]
-    bits = [np.frombuffer(p[3], np.uint8) for p in parts]
-    return Segments(
-        segments,
-        first,
-        np.frombuffer(b"".join(p[1] for p in parts), np.uint64),
-        np.frombuffer(b"".join(p[2] for p in parts), np.int64),
-        np.concatenate(bits) if bits else np.empty(0, np.uint8),
-        np.concatenate([[0], np.cumsum([len(b) for b in bits])]).astype(np.int64),
-    )
-
-
 def _plain(known: Segments) -> tuple:
     """Numbers and arrays only: workers unpickle them without this library."""
     return tuple(getattr(known, f.name) for f in fields(Segments))
 
 
+OUTPUTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
 def scored(docs: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """n_tokens, n_known, train_tokens, base_score and score beside the columns of ``docs`` other than ``text``."""
+    """The columns of ``docs`` other than ``text``, with n_tokens, n_known, train_tokens, base_score and score added or replaced."""
     total, types, size, segments = model.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)),
         F.coalesce(F.sum("n_types"), F.lit(0)),
@@ -262,12 +275,14 @@ def scored(docs: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST
         F.coalesce(F.max("segments"), F.lit(1)),
     ).first()
     way = _by_broadcast if size <= max_broadcast else _by_exchange
+    docs = docs.drop(*OUTPUTS)
     return way(docs, model, total, types, segments).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def _by_broadcast(docs: DataFrame, model: DataFrame, total: int, types: int, segments: int) -> DataFrame:
-    rows = model.select("segment", "words", "counts", "bits").toLocalIterator()
-    shared = docs.sparkSession.sparkContext.broadcast(_plain(_packed([tuple(r) for r in rows], segments)))
+    sizes = [tuple(r) for r in model.select("segment", "n_types", F.octet_length("bits")).collect()]
+    rows = (tuple(r) for r in model.select("segment", "words", "counts", "bits").toLocalIterator())
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(Segments.of(rows, sizes, segments, 0, segments)))
     others = [c for c in docs.columns if c != "text"]
     ordered = docs.select(*[F.col(f"`{c}`") for c in others], text_or_empty().alias("text"))
     schema = ordered.drop("text").schema
@@ -313,7 +328,9 @@ def _by_exchange(docs: DataFrame, model: DataFrame, total: int, types: int, segm
         return pd.DataFrame(out, columns=["segment", "_chunk", "kind", "keys"])
 
     def answer(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        own = _packed(list(held[["segment", "words", "counts", "bits"]].itertuples(index=False)), segments, key[0], key[0] + 1)
+        rows = list(held[["segment", "words", "counts", "bits"]].itertuples(index=False, name=None))
+        sizes = [(s, len(words) // 8, len(bits)) for s, words, _, bits in rows]
+        own = Segments.of(rows, sizes, segments, key[0], key[0] + 1)
         told = [
             (own.word_counts(k) if kind == "word" else own.pair_levels(k).astype(np.int64)).tobytes()
             for kind, k in zip(asked["kind"], [np.frombuffer(k, np.uint64) for k in asked["keys"]], strict=True)
