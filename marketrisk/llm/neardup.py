@@ -5,13 +5,15 @@ only two bits are kept, packed into four longs, and the bits that differ between
 corrected for chance collisions, estimate their similarity.  What the estimate cannot rule out is confirmed on the full
 shingle sets, so every link is exact.
 
+A second sketch rules pairs out for certain: every shingle flips one of 1,024 bits, so two sets differ in at least
+as many shingles as their flips differ in bits, and may differ in no more than a ninth of their sizes' sum.
+
 Documents of equal shingle sets are one class.  A bucket of a band, which may hold any share of all classes,
 is never expanded into all its pairs:
 
-1. every class is compared with the best (by estimate) of its buckets' leaders; leaders differ from band to band;
-2. of classes that are not in the largest component of a bucket, each is compared with the best of every other
-   component in it;
-3. what pairs between different components then remain are all confirmed.
+1. every class is compared with the nearest of its buckets' leaders; leaders differ from band to band;
+2. twice, every class outside its buckets' largest components is compared with the nearest of a few members of these;
+3. what pairs between different components then remain possible are all confirmed.
 
 A pair inside one component needs no confirmation, as it cannot change the result.  A pair at similarity
 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8; the estimate's margin is 4.5 of its standard deviations.
@@ -44,7 +46,11 @@ SIMILAR = 80
 MARGIN = 4.5
 #: Most rows of ids that are broadcast (eight bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 4_000_000
+#: Bits of the flip sketch; members of its largest component that a bucket offers in a round, and rounds.
+FLIP_BITS = 1024
+PIVOTS, PIVOT_ROUNDS = 8, 2
 SEED = 5
+SKETCH = [*[f"s{k}" for k in range(MINIMA * BITS // 64)], *[f"f{k}" for k in range(FLIP_BITS // 64)]]
 _U = np.uint64
 
 
@@ -78,12 +84,12 @@ def shingles(words: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def signatures(keys: np.ndarray, owners: np.ndarray, texts: int) -> tuple[np.ndarray, ...]:
-    """(set size, two hashes of the set, packed two-bit signature, band keys) per text; zeros without shingles."""
+    """(set size, two hashes of the set, packed two-bit signature and flips, band keys) per text; zeros without shingles."""
     sizes = np.bincount(owners, minlength=texts)
     some = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[some]
     hashes = np.zeros((2, texts), np.uint64)
-    packed = np.zeros((MINIMA * BITS // 64, texts), np.uint64)
+    packed = np.zeros((len(SKETCH), texts), np.uint64)
     bands = np.zeros((texts, BANDS), np.uint64)
     if len(some):
         rng = np.random.default_rng(SEED)
@@ -91,6 +97,10 @@ def signatures(keys: np.ndarray, owners: np.ndarray, texts: int) -> tuple[np.nda
         shifts = rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
         for row, salt in enumerate((0x1B873593, 0x2545F491)):
             hashes[row, some] = np.add.reduceat(mix(keys ^ _U(salt)), starts)
+        flips = mix(keys ^ _U(0x7F4A7C15)) % _U(FLIP_BITS)
+        odd = np.bincount(owners * FLIP_BITS + flips.astype(np.int64), minlength=texts * FLIP_BITS).astype(np.uint8) & 1
+        words = np.packbits(odd.reshape(texts, FLIP_BITS), axis=1, bitorder="little").view(np.uint64)
+        packed[MINIMA * BITS // 64 :] = words.T
         per = 64 // BITS
         held = np.empty(len(keys), np.uint64)
         for j in range(MINIMA):
@@ -108,8 +118,8 @@ def sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     source = docs.select(row, "text")
     schema = T.StructType([*source.schema.fields]).add("_uid", "long").add("n", "long").add("h0", "long").add("h1", "long")
-    for k in range(MINIMA * BITS // 64):
-        schema = schema.add(f"s{k}", "long")
+    for name in SKETCH:
+        schema = schema.add(name, "long")
     schema = schema.add("bands", T.ArrayType(T.LongType()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +161,20 @@ def least_estimate(similar: int = SIMILAR) -> float:
     return j - MARGIN * (match * (1 - match) / MINIMA) ** 0.5 / (1 - chance)
 
 
+def flipped(side_a: str, side_b: str) -> Column:
+    """At least so many shingles are in one of the two sets only."""
+    bits = F.lit(0)
+    for k in range(FLIP_BITS // 64):
+        bits = bits + F.bit_count(F.col(f"{side_a}.f{k}").bitwiseXOR(F.col(f"{side_b}.f{k}")))
+    return bits
+
+
 def possible(side_a: str, side_b: str) -> Column:
-    """Neither the set sizes nor the estimate rule the pair out."""
+    """Neither the set sizes nor the two sketches rule the pair out."""
     n, m = F.col(f"{side_a}.n"), F.col(f"{side_b}.n")
-    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (estimate(side_a, side_b) >= least_estimate())
+    # shared >= s * union means: only in one <= (1 - s) / (1 + s) * (n + m)
+    apart = (100 + SIMILAR) * flipped(side_a, side_b) <= (100 - SIMILAR) * (n + m)
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & apart & (estimate(side_a, side_b) >= least_estimate())
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -187,19 +207,18 @@ def grouped(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
     """Per row of ``docs``: row (a struct of all columns but the text), text, _uid, n_shingles, component_id, and keeper:
     the _uid of its group's first row by doc_id."""
     rows = sketched(docs, shingle_words)
-    signature = [f"s{k}" for k in range(MINIMA * BITS // 64)]
     first = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("_uid"))
     classes = (
         rows.filter("n > 0")
         .groupBy("h0", "h1")
         .agg(
             F.min(first).alias("first"),
-            F.min(F.struct("_uid", "n", *signature, "bands")).alias("of"),
+            F.min(F.struct("_uid", "n", *SKETCH, "bands")).alias("of"),
         )
-        .select("h0", "h1", "first", F.col("of._uid").alias("cls"), *[f"of.{c}" for c in ("n", *signature, "bands")])
+        .select("h0", "h1", "first", F.col("of._uid").alias("cls"), *[f"of.{c}" for c in ("n", *SKETCH, "bands")])
     )
     classes = materialised(classes)
-    labels = linked(classes, rows, signature, shingle_words)
+    labels = linked(classes, rows, shingle_words)
     labelled = classes.select("h0", "h1", "cls", "first").join(labels, "cls", "left")
     labelled = labelled.select("h0", "h1", "first", F.coalesce("comp", "cls").alias("comp"))
     groups = labelled.groupBy("comp").agg(F.min("first").alias("whole"))
@@ -217,7 +236,7 @@ def grouped(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
     )
 
 
-def linked(classes: DataFrame, rows: DataFrame, signature: list[str], shingle_words: int) -> DataFrame:
+def linked(classes: DataFrame, rows: DataFrame, shingle_words: int) -> DataFrame:
     """(cls, comp) of every class that shares a bucket with another."""
     banded = classes.select("cls", F.explode("bands").alias("bucket"))
     # leaders differ from bucket to bucket: the smallest hash of class and bucket
@@ -232,39 +251,46 @@ def linked(classes: DataFrame, rows: DataFrame, signature: list[str], shingle_wo
     n_involved = involved.count()
     ids = F.broadcast(involved) if n_involved <= BROADCAST_ROWS else involved
     texts = materialised(rows.select(F.col("_uid").alias("cls"), "text").join(ids, "cls", "left_semi"))
-    sketches = materialised(classes.select("cls", "n", *signature).join(ids, "cls", "left_semi"))
+    sketches = materialised(classes.select("cls", "n", *SKETCH).join(ids, "cls", "left_semi"))
     labels = involved.withColumn("comp", F.col("cls"))
 
-    # 1: the best leader of each class
+    # 1: the nearest leader of each class
     led = members.filter("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
+    tested = confirmed(nearest(led, sketches), texts, shingle_words)
+    labels = merged(labels, tested.filter("linked"))
+
+    # 2: the nearest of a few members of its buckets' largest components
+    for turn in range(PIVOT_ROUNDS):
+        offered = nearest(untested(pivoted(members, labels, turn), tested), sketches)
+        found = confirmed(offered, texts, shingle_words)
+        labels = merged(labels, found.filter("linked"))
+        tested = tested.union(found)
+
+    # 3: all that is left between components
+    left = untested(crossing(members, labels, sketches), tested)
+    return merged(labels, confirmed(left, texts, shingle_words).filter("linked"))
+
+
+def nearest(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """For every a, the possible b whose flips differ least for their sizes."""
+    share = flipped("x", "y") / (F.col("x.n") + F.col("y.n"))
     scored = (
-        led.join(sketches.alias("x"), F.col("a") == F.col("x.cls"))
+        pairs.join(sketches.alias("x"), F.col("a") == F.col("x.cls"))
         .join(sketches.alias("y"), F.col("b") == F.col("y.cls"))
         .filter(possible("x", "y"))
-        .select("a", "b", estimate("x", "y").alias("est"))
+        .select("a", "b", share.alias("share"))
     )
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    tested = confirmed(best, texts, shingle_words)
-    labels = merged(labels, tested.filter("linked"))
+    return materialised(scored.groupBy("a").agg(F.min_by("b", F.struct("share", "b")).alias("b")))
 
-    # 2: the best member of every other component; 3: all that is left between components
-    for last in (False, True):
-        cross = materialised(crossing(members, labels, sketches))
-        if not last:
-            cross = cross.groupBy("a", "other").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-        fresh = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = confirmed(fresh.join(known, ["a", "b"], "left_anti"), texts, shingle_words)
-        labels = merged(labels, found.filter("linked"))
-        tested = tested.union(found)
-    return labels
 
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The distinct pairs that were not confirmed or refuted in either order."""
+    known = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
 
-def crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Possible pairs (a, b) between components that meet in a bucket: other is b's component, est their estimate.
 
-    a is outside its bucket's largest component; of two such classes the pair is met from both sides.
-    """
+def in_mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, cls, comp and main, the bucket's largest component, of all buckets with more than one."""
     placed = members.select("bucket", "cls").join(labels, "cls")
     shares = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = (
@@ -273,12 +299,31 @@ def crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
         .filter("comps > 1")
         .select("bucket", "main")
     )
-    inside = materialised(placed.join(mixed, "bucket").join(sketches, "cls"))
+    return materialised(placed.join(mixed, "bucket"))
+
+
+def pivoted(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): a class outside its bucket's largest component with each of a few members of that, by hashes."""
+    inside = in_mixed_buckets(members, labels)
+    chosen = [
+        F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "bucket", "cls").alias("order"), F.col("cls")))["cls"]
+        for k in range(PIVOTS)
+    ]
+    pivots = inside.filter("comp = main").groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+    outside = inside.filter("comp <> main").select("bucket", F.col("cls").alias("a"))
+    return outside.join(pivots, "bucket").select("a", F.explode("pivots").alias("b"))
+
+
+def crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Possible pairs (a, b) between components that meet in a bucket; a is outside its bucket's largest component."""
+    inside = materialised(in_mixed_buckets(members, labels).join(sketches, "cls"))
+    of_two = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & of_two & possible("x", "y")
     return (
         inside.filter("comp <> main")
         .alias("x")
-        .join(inside.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("y.comp").alias("other"), estimate("x", "y").alias("est"))
+        .join(inside.alias("y"), meet)
+        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
     )
 
 
