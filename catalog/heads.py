@@ -25,9 +25,10 @@ WIDTH = 64
 
 
 def vectors(spark, sf):
-    """Vectors with a class, a target and balanced weights; vec_id stands for time."""
+    """Vectors with a class, a target, balanced weights and one of 500 dates."""
     df = tb.table(spark, sf, "embeddings").select(
         "vec_id",
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("vec_id") % 500).cast("int")).alias("day"),
         (F.col("label") % 3).cast("int").alias("y"),
         F.get(F.col("embedding"), 0).cast("double").alias("target"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
@@ -140,7 +141,7 @@ BASES = {
 def _stack(spark, sf):
     df = checkpointed(vectors(spark, sf))
     plan = fd.WalkForward(n_splits=2, min_train=200, test=100)
-    rows = fd.assigned(df, fd.fold_table(df, plan, "vec_id"), "vec_id")
+    rows = fd.assigned(df, fd.fold_table(df, plan, "day"), "day")
     weigh = lambda rows: fd.with_utility_weights(rows.drop("weight"), "y", UTILITY)
     return df, st.fit_stack(rows, df, BASES, [1, 2], weigh)
 
@@ -151,10 +152,10 @@ def stacked_classifier(spark, sf):
 
 
 def expanding_forecasts(spark, sf):
-    """One-step-ahead class forecasts, refitted every 100 vectors."""
+    """One-step-ahead class forecasts, refitted every 100 dates; the last tenth of the known dates stops the rounds."""
     df = checkpointed(vectors(spark, sf))
-    fit = lambda train: cl.elastic_net_logistic(train, rounds=15)
-    out = wf.expanding_forecasts(df, fit, initial=200, every=100, date="vec_id")
+    fit = lambda train: cl.boosted_trees(train, rounds=8, depth=3, rate=0.1, validation="held_out")
+    out = wf.expanding_forecasts(df, fit, initial=200, every=100, date="day", inner=0.9)
     return rounded(out.select("vec_id", "y", "p_0", "p_1", "p_2", "training_size"))
 
 
@@ -166,6 +167,72 @@ def feature_importance(spark, sf):
     return rounded(cl.mean_importance(rows).crossJoin(F.broadcast(best)))
 
 
+def har_rv_plain(spark, sf):
+    """The same regression without a penalty: ordinary least squares, which SQL can solve from moments."""
+    rows = checkpointed(fd.split_by_position(_volatility_rows(spark, sf)))
+    base = vh.Base(lambda: vh.elastic_net(0.0), vh.HAR)
+    predict = vh.fit_base("har_plain", base, rows.filter("role = 'train'"), "target_log_rv_1d")
+    return rounded(predict(rows).select("session_date", "role", "hat_har_plain"), 5)
+
+
+def _log_loss(scored):
+    p = F.element_at(F.array(*st.PROBABILITIES), F.col("y") + 1)
+    return -F.avg(F.log(F.greatest(p, F.lit(1e-12))))
+
+
+def classifier_checks(spark, sf):
+    """Per classifier: rows, whether all probabilities sum to 1, and whether a second statement holds.
+
+    Heads scored on rows like those they were fitted on explain them better than the class shares (log loss); the two that
+    forecast rows of other dates have classes here that no head can know, so theirs is that all probabilities lie in [0, 1].
+    """
+    ahead = ("stacked", "expanding")
+    made = {
+        "boosted": boosted_classifier, "forest": forest_classifier, "elastic_net": elastic_net_classifier,
+        "kernel_svm": kernel_svm, "stacked": stacked_classifier, "expanding": expanding_forecasts,
+    }
+    out = None
+    for name, query in made.items():
+        scored = checkpointed(query(spark, sf))
+        shares = scored.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        share = shares.agg(F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("t"))
+        entropy = share.select((F.log("t") - F.col("s") / F.col("t")).alias("entropy"))
+        total = F.abs(F.col("p_0") + F.col("p_1") + F.col("p_2") - 1)
+        one = scored.agg(
+            F.count(F.lit(1)).alias("rows"), (F.max(total) < 1e-6).alias("sums_to_one"), _log_loss(scored).alias("loss"),
+            F.bool_and(F.least(*st.PROBABILITIES) >= 0).alias("in_range"),
+        ).join(F.broadcast(entropy))
+        second = F.col("in_range") if name in ahead else F.col("loss") < F.col("entropy")
+        one = one.select(F.lit(name).alias("head"), "rows", "sums_to_one", second.alias("second"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def regressor_checks(spark, sf):
+    """Ordered quantiles with coverage in a stated band, an ensemble inside its targets' range, importances that sum to 1."""
+    q = checkpointed(quantile_forest(spark, sf))
+    inside = F.avg(F.col("target").between(F.col("q05"), F.col("q95")).cast("double"))
+    ordered = F.bool_and((F.col("q05") <= F.col("q50")) & (F.col("q50") <= F.col("q95")))
+    quantiles = q.agg(F.count(F.lit(1)).alias("rows"), ordered.alias("first"), inside.between(0.8, 1.0).alias("second"))
+    e = volatility_ensemble(spark, sf)
+    hat, target = F.col("hat_ensemble"), F.col("target_log_rv_1d")
+    ensemble = e.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_and(hat.isNotNull()).alias("first"),
+        ((F.min(hat) >= F.min(target)) & (F.max(hat) <= F.max(target))).alias("second"),
+    )
+    f = cl.importance_rows(spark, [BASES["forest"](_split(vectors(spark, sf))[0])], [f"f_{i}" for i in range(WIDTH)])
+    importance = f.agg(
+        F.count(F.lit(1)).alias("rows"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("first"), F.bool_and(F.col("importance") >= 0).alias("second")
+    )
+    parts = {"quantiles": quantiles, "ensemble": ensemble, "importance": importance}
+    out = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("head"), "rows", "first", "second")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def label_codes(spark, sf):
     """Alphabetical label codes and back."""
     days = tb.forecast_days(spark, sf).select("session_date", "actual_label")
@@ -214,6 +281,7 @@ QUERIES = {
     for f in (
         boosted_classifier, forest_classifier, elastic_net_classifier, kernel_svm, har_rv, volatility_ensemble,
         quantile_forest, quantile_order, conformal_interval, stacked_classifier, expanding_forecasts, feature_importance, label_codes,
+        har_rv_plain, classifier_checks, regressor_checks,
         blend_weights, blended_forecast,
     )
 }
@@ -236,7 +304,41 @@ wt AS (
   SELECT *, acc / sum(acc) OVER () AS aw, (neg - min(neg) OVER () + 1) / sum(neg - mn + 1) OVER () AS ew
   FROM (SELECT *, min(neg) OVER () AS mn FROM sc))"""
 
+# Ordinary least squares of three centred regressors by Cramer's rule.
+_HAR = """
+har AS (
+  SELECT session_date, RV_daily AS x1, avg(RV_daily) OVER (ORDER BY session_date ROWS 4 PRECEDING) AS x2,
+         avg(RV_daily) OVER (ORDER BY session_date ROWS 21 PRECEDING) AS x3,
+         log_RV_daily, lead(log_RV_daily) OVER (ORDER BY session_date) AS y FROM daily),
+known AS (
+  SELECT * FROM har WHERE y IS NOT NULL AND log_RV_daily IS NOT NULL AND x1 IS NOT NULL),
+placed AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY session_date) - 1 < floor(count(*) OVER () * (1 - 0.2)) THEN 'train' ELSE 'test' END
+         AS role FROM known),
+mo AS (
+  SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b,
+         covar_pop(x1, x3) AS c, covar_pop(x2, x2) AS d, covar_pop(x2, x3) AS e, covar_pop(x3, x3) AS f,
+         covar_pop(x1, y) AS u, covar_pop(x2, y) AS v, covar_pop(x3, y) AS w FROM placed WHERE role = 'train'),
+ols AS (
+  SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM mo),
+beta AS (
+  SELECT m1, m2, m3, my, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS b1,
+         (a * (v * f - e * w) - u * (b * f - c * e) + c * (b * w - c * v)) / det AS b2,
+         (a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det AS b3 FROM ols)"""
+
 ORACLE = {
+    "har_rv_plain": S.ctes(S.DAILY, _HAR)
+    + S.final(
+        "(SELECT session_date, role, my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3) AS hat_har_plain FROM placed, beta)",
+        "session_date, role",
+        5,
+    ),
+    "classifier_checks": "SELECT head, CASE WHEN head = 'expanding' THEN n - (SELECT count(*) FROM embeddings WHERE vec_id % 500 < 200)"
+    " ELSE n END AS rows, true AS sums_to_one, true AS second FROM (SELECT count(*) AS n FROM embeddings),"
+    " (VALUES ('boosted'), ('forest'), ('elastic_net'), ('kernel_svm'), ('stacked'), ('expanding')) h(head)",
+    "regressor_checks": S.ctes(S.DAILY, _HAR)
+    + "SELECT 'quantiles' AS head, (SELECT count(*) FROM embeddings) AS rows, true AS first, true AS second"
+    " UNION ALL SELECT 'ensemble', (SELECT count(*) FROM known), true, true UNION ALL SELECT 'importance', 64, true, true",
     "quantile_order": S.ctes(
         PRED,
         "a AS (SELECT session_date, list_sort([avg(p0), avg(p1), avg(p2)]) AS x FROM preds GROUP BY session_date)",

@@ -16,7 +16,10 @@ from marketrisk.functions.ordered import exact_quantiles
 
 LEVELS = (0.05, 0.5, 0.95)
 SEED = 42
+#: Values that stand for the targets of a leaf: evenly spaced quantiles of theirs.
+LEAF_VALUES = 64
 LEAF_ACCURACY = 10_000
+MAX_LEAF_CELLS = 50_000_000
 
 
 def level_name(q: float) -> str:
@@ -34,15 +37,18 @@ def fit_quantile_forest(
 ) -> Callable[[DataFrame], DataFrame]:
     """Forest whose leaves know the quantiles of their training targets.
 
-    Per (tree, leaf) the target quantiles come from one mergeable sketch, so a leaf may hold any
-    number of rows.  The leaf table has at most trees x 2^depth rows; it travels to the scoring
-    tasks like the forest itself, and a prediction is the mean of its leaves' quantiles.
+    A prediction is the quantile of the targets pooled over the row's leaves, each tree weighing the same.  A leaf's
+    targets are represented by ``LEAF_VALUES`` evenly spaced quantiles from one mergeable sketch (accuracy
+    ``LEAF_ACCURACY``), so a leaf may hold any number of rows.  The leaf table has at most trees x 2^(depth + 1) rows,
+    checked before it is read; it travels to the scoring tasks like the forest itself.
     """
+    if trees * 2 ** (depth + 1) * LEAF_VALUES > MAX_LEAF_CELLS:
+        raise ValueError("the leaf table would be too large; use fewer trees or less depth")
     estimator = RandomForestRegressor(
         featuresCol=features, labelCol=target, numTrees=trees, maxDepth=depth, leafCol="_leaf", seed=SEED
     )
     model = estimator.fit(train)
-    grid = F.array(*[F.lit(float(q)) for q in levels])
+    grid = F.array(*[F.lit((k + 0.5) / LEAF_VALUES) for k in range(LEAF_VALUES)])
     leaves = (
         model.transform(train)
         .select(target, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
@@ -50,15 +56,22 @@ def fit_quantile_forest(
         .agg(F.percentile_approx(target, grid, F.lit(LEAF_ACCURACY)).alias("q"))
         .collect()
     )
-    table = np.zeros((trees, max(r["leaf"] for r in leaves) + 1, len(levels)))
+    table = np.zeros((trees, max(r["leaf"] for r in leaves) + 1, LEAF_VALUES))
     for r in leaves:
         table[r["tree"], r["leaf"]] = r["q"]
     shared = train.sparkSession.sparkContext.broadcast(table)
 
+    wanted = [float(q) for q in levels]
+
     @F.pandas_udf("array<double>")
     def looked_up(leaf: pd.Series) -> pd.Series:
         at = np.stack(leaf.to_numpy()).astype(int)
-        return pd.Series(list(shared.value[np.arange(at.shape[1]), at].mean(axis=1)))
+        out = []
+        for first in range(0, len(at), 256):
+            some = at[first : first + 256]
+            pooled = shared.value[np.arange(some.shape[1]), some].reshape(len(some), -1)
+            out.append(np.quantile(pooled, wanted, axis=1).T)
+        return pd.Series(list(np.concatenate(out)))
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(df).withColumn("_q", looked_up(vector_to_array("_leaf")))

@@ -21,8 +21,9 @@ def expanding_forecasts(
 ) -> DataFrame:
     """Every date from ``initial`` on, scored by the model refitted last before it.
 
-    A model sees only positions before its refit (the first ``inner`` share of them).  The number
-    of fits is the number of dates over ``every``; each fit and score is a Spark job.
+    A model sees only positions before its refit.  With ``inner`` below 1 the last of them are marked by a
+    boolean column ``held_out``, for early stopping.  The number of fits is the number of dates over ``every``;
+    each fit and score is a Spark job.
     """
     schedule = refit_schedule(rows, initial, every, inner, date)
     positions = refit_schedule(rows, 0, 1, inner, date).select(date, "position")
@@ -32,7 +33,8 @@ def expanding_forecasts(
     )
     parts = []
     for block in blocks.orderBy("refit_at").collect():  # one row per refit
-        head = fit(placed.filter(F.col("position") < block["train_end"]))
+        known = placed.filter(F.col("position") < block["refit_at"])
+        head = fit(known if inner >= 1 else known.withColumn("held_out", F.col("position") >= block["train_end"]))
         scored = head.score(placed.filter(F.col("position").between(block["first"], block["last"])))
         parts.append(scored.withColumn("training_size", F.col("position")))
     out = parts[0]
