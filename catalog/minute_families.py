@@ -119,7 +119,7 @@ def liquidity_daily(spark, sf):
 
 def volume_profile(spark, sf):
     rows = tb.sessions_of_ticks(spark, sf)
-    out = liq.volume_profile(rows, ONE, session_minutes=40).join(liq.vwap_deviation(rows, ONE), "session_date")
+    out = liq.vwap_deviation(rows, ONE, liq.volume_profile(rows, ONE, session_minutes=40))
     volume = rows.groupBy("session_date").agg(F.sum("ohlcv_volume").alias("liq_daily_volume"))
     return rounded(liq.with_bucket_ratios(out.join(volume, "session_date")))
 

@@ -65,7 +65,7 @@ def liquidity_daily(minutes: DataFrame, series: Series) -> DataFrame:
 def volume_profile(
     minutes: DataFrame, series: Series, buckets: int = BUCKETS, session_minutes: int | Column = 390
 ) -> DataFrame:
-    """Volume of the first and last time bucket and the entropy of the bucket shares.
+    """Volume of the first and last time bucket, the entropy of the bucket shares and the session VWAP of the closes.
 
     ``session_minutes`` is the sessions' length, a column if it differs between them.
 
@@ -73,37 +73,31 @@ def volume_profile(
     look at the session total is needed:  -sum (v/V) ln(v/V) = ln V - sum(v ln v) / V.
     """
     at = F.floor((F.col(series.order) - 1) * buckets / session_minutes)
-    per_bucket = minutes.groupBy(*series.by_session, at.alias("_bucket")).agg(total("ohlcv_volume").alias("_v"))
+    per_bucket = minutes.groupBy(*series.by_session, at.alias("_bucket")).agg(
+        total("ohlcv_volume").alias("_v"),
+        F.sum(F.col("ohlcv_close") * F.col("ohlcv_volume")).alias("_cv"),
+        F.sum("ohlcv_volume").alias("_known"),
+    )
     v = F.col("_v")
     volume = F.sum(v)
     return per_bucket.groupBy(*series.by_session).agg(
         total(F.when(F.col("_bucket") == 0, v)).alias("liq_open_volume"),
         total(F.when(F.col("_bucket") == buckets - 1, v)).alias("liq_close_volume"),
         (ln(volume) - div(total(v * ln(v)), volume)).alias("liq_volume_entropy"),
+        div(F.sum("_cv"), F.sum("_known")).alias("liq_daily_vwap"),
     )
 
 
-def vwap_deviation(minutes: DataFrame, series: Series) -> DataFrame:
-    """Session VWAP of the closes and the mean absolute distance from it."""
-    close, volume = F.col("ohlcv_close"), F.col("ohlcv_volume")
-    level = minutes.groupBy(*series.by_session).agg(
-        div(F.sum(close * volume), F.sum(volume)).alias("liq_daily_vwap")
-    )
+def vwap_deviation(minutes: DataFrame, series: Series, profile: DataFrame) -> DataFrame:
+    """``profile`` with the mean absolute distance of the closes from its ``liq_daily_vwap``: one more look at the minutes."""
+    level = profile.select(*series.by_session, "liq_daily_vwap")
     rows = minutes.select(*series.by_session, series.order, "ohlcv_close")
-    return (
+    away = (
         join_per_group(rows, level, series.by_session, series.order)
-        .groupBy(*series.by_session, "_salt")
-        .agg(
-            F.first("liq_daily_vwap").alias("liq_daily_vwap"),
-            F.sum(F.abs(close - F.col("liq_daily_vwap"))).alias("_away"),
-            F.count(close).alias("_n"),
-        )
         .groupBy(*series.by_session)
-        .agg(
-            F.first("liq_daily_vwap").alias("liq_daily_vwap"),
-            div(F.sum("_away"), F.sum("_n")).alias("liq_vwap_deviation"),
-        )
+        .agg(F.avg(F.abs(F.col("ohlcv_close") - F.col("liq_daily_vwap"))).alias("liq_vwap_deviation"))
     )
+    return profile.join(away, series.by_session, "left")
 
 
 def with_rolling(daily: DataFrame, series: Series, windows: Sequence[int] = WINDOWS) -> DataFrame:
@@ -155,7 +149,7 @@ def liquidity_features(
     """The whole family on the daily table; minutes carry returns."""
     own = owned(minutes, series)
     out = daily
-    for part in (liquidity_daily(minutes, series), volume_profile(own, series), vwap_deviation(own, series)):
+    for part in (liquidity_daily(minutes, series), vwap_deviation(own, series, volume_profile(own, series))):
         out = out.join(part, series.by_session, "left")
     return with_relative(with_bucket_ratios(with_rolling(out, series)), series, point_in_time)
 

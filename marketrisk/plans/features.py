@@ -50,8 +50,7 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
     daily = quotes.with_quantiles(daily, rows, series, quantiles)
     bars = owned(minutes, series)
     profile = liquidity.volume_profile(bars, series, session_minutes=F.col(size))
-    for part in (profile, liquidity.vwap_deviation(bars, series)):
-        daily = daily.join(part, series.by_session, "left")
+    daily = daily.join(liquidity.vwap_deviation(bars, series, profile), series.by_session, "left")
     daily = daily.withColumns(
         {
             **realized.variation_columns(),
