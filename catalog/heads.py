@@ -87,7 +87,7 @@ def har_rv(spark, sf):
 
 def volatility_ensemble(spark, sf):
     rows = _volatility_rows(spark, sf)
-    plan = fd.WalkForward(n_splits=2, min_train=800, test=300)
+    plan = fd.WalkForward(n_splits=2, min_train=600, test=200)
     rows = checkpointed(rows)
     assigned = fd.assigned(rows, fd.fold_table(rows, plan))
     wide = (*vh.HAR, "vr_log_rv", "vr_ma20", "vr_std20")
