@@ -48,7 +48,9 @@ MARGIN = 4.5
 BROADCAST_ROWS = 4_000_000
 #: Bits of the flip sketch; members of its largest component that a bucket offers in a round, and rounds.
 FLIP_BITS = 1024
-PIVOTS, PIVOT_ROUNDS = 8, 2
+PIVOTS, PIVOT_ROUNDS = 4, 2
+#: Half of the buckets propose in the first steps; the last step takes all of them.
+PROPOSING = "pmod(bucket, 2) = 0"
 SEED = 5
 SKETCH = [*[f"s{k}" for k in range(MINIMA * BITS // 64)], *[f"f{k}" for k in range(FLIP_BITS // 64)]]
 _U = np.uint64
@@ -255,7 +257,7 @@ def linked(classes: DataFrame, rows: DataFrame, shingle_words: int) -> DataFrame
     labels = involved.withColumn("comp", F.col("cls"))
 
     # 1: the nearest leader of each class
-    led = members.filter("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
+    led = members.filter("cls <> leader").filter(PROPOSING).select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
     tested = confirmed(nearest(led, sketches), texts, shingle_words)
     labels = merged(labels, tested.filter("linked"))
 
@@ -304,7 +306,7 @@ def in_mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pivoted(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): a class outside its bucket's largest component with each of a few members of that, by hashes."""
-    inside = in_mixed_buckets(members, labels)
+    inside = in_mixed_buckets(members.filter(PROPOSING), labels)
     chosen = [
         F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "bucket", "cls").alias("order"), F.col("cls")))["cls"]
         for k in range(PIVOTS)
