@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketrisk.llm.components import merged
-from marketrisk.llm.shared import materialised
+from marketrisk.llm.shared import materialised, scratch
 from marketrisk.llm.textbytes import chunks, mix, pair_hashes, utf8, word_hashes
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -209,6 +209,22 @@ def grouped(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
     """Per row of ``docs``: row (a struct of all columns but the text), text, _uid, n_shingles, component_id, and keeper:
     the _uid of its group's first row by doc_id."""
     rows = sketched(docs, shingle_words)
+    with scratch(docs.sparkSession):
+        per_class = materialised(classes_of(rows, shingle_words), lasting=True)
+    joined = rows.select("row", "text", "_uid", "n", "h0", "h1").join(per_class, ["h0", "h1"], "left")
+    linked_row = F.col("n") > 0
+    return joined.select(
+        "row",
+        "text",
+        "_uid",
+        F.col("n").alias("n_shingles"),
+        F.when(linked_row, F.col("whole.doc_id")).otherwise(F.col("row.doc_id")).alias("component_id"),
+        F.when(linked_row, F.col("whole._uid")).otherwise(F.col("_uid")).alias("keeper"),
+    )
+
+
+def classes_of(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """h0, h1 and whole, the first row of its group, of every shingle set."""
     first = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("_uid"))
     classes = (
         rows.filter("n > 0")
@@ -224,18 +240,7 @@ def grouped(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
     labelled = classes.select("h0", "h1", "cls", "first").join(labels, "cls", "left")
     labelled = labelled.select("h0", "h1", "first", F.coalesce("comp", "cls").alias("comp"))
     groups = labelled.groupBy("comp").agg(F.min("first").alias("whole"))
-    per_class = labelled.join(groups, "comp").select("h0", "h1", "whole")
-    per_class = materialised(per_class)
-    joined = rows.select("row", "text", "_uid", "n", "h0", "h1").join(per_class, ["h0", "h1"], "left")
-    linked_row = F.col("n") > 0
-    return joined.select(
-        "row",
-        "text",
-        "_uid",
-        F.col("n").alias("n_shingles"),
-        F.when(linked_row, F.col("whole.doc_id")).otherwise(F.col("row.doc_id")).alias("component_id"),
-        F.when(linked_row, F.col("whole._uid")).otherwise(F.col("_uid")).alias("keeper"),
-    )
+    return labelled.join(groups, "comp").select("h0", "h1", "whole")
 
 
 def linked(classes: DataFrame, rows: DataFrame, shingle_words: int) -> DataFrame:

@@ -224,9 +224,10 @@ def dismissal(scored: DataFrame, m: str, level: float = FALSE_DISCOVERY) -> Data
 def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -> tuple[DataFrame, str]:
     """(table, name of its column): every row with an array of spans (start, end, kind) ordered by start, then kind.
 
-    What the patterns and tests found is written once to the shared folder, as the step-up rule needs all of it.
+    The step-up rule needs the candidates of all rows, so rows are scanned twice, once for the cut and once for the
+    result: cheaper than keeping a second copy of all texts.
     """
-    scored = materialised(scanned(docs, text))
+    scored = scanned(docs, text)
     m = scored.columns[-1]
     cut = materialised(dismissal(scored, m, level).select(*[F.col(c).alias(f"{m}_{c}") for c in ("mean_length", "cut")]))
     joined = scored.join(F.broadcast(cut))  # one row

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +25,29 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder: lineage ends there and nothing is recomputed."""
-    path = new_folder(df.sparkSession)
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end, but for the lasting ones."""
+    folder = new_folder(spark)
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialised(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder: lineage ends there and nothing is recomputed.
+
+    Inside :func:`scratch` the table goes with it unless it is ``lasting``.
+    """
+    within = None if lasting else _scratch.get()
+    path = f"{within}/{uuid.uuid4().hex}" if within else new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
