@@ -8,7 +8,13 @@ another as blocks.  Nothing visible is left out.
 
 Hidden are: the head, scripts, styles, templates, comments and embedded objects; elements with ``hidden``, a hidden
 input, a closed dialog; elements whose own style or class or id (by simple rules of the page's style elements) says
-``display:none``; and, until shown again further down, ``visibility:hidden``.
+``display:none``; and, until shown again further down, ``visibility:hidden``.  The head ends at the first tag or text
+that cannot stand in it.  Text of drawings and formulas is shown, their descriptions are not.
+
+All style elements of a page are read first, as they apply wherever they stand.  A rule hides only if its selector is one
+class, one id or ``[hidden]`` and it surely applies on a screen, and only elements for which no rule of more weight
+(importance, specificity, order) may show them: a rule that shows counts if the last part of its selector fits, whatever
+stands before it and under whatever condition, except in print.
 
 Defined cases: a null page is null, an empty page or one without visible text is the empty string; broken markup closes
 at the end of the page; repeated rows and other columns pass through; an empty table gives an empty table.
@@ -27,7 +33,23 @@ from pyspark.sql import types as T
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg canvas audio video map datalist math".split())
+HIDDEN = frozenset(
+    "head title script style template noscript iframe object canvas audio video datalist desc metadata clippath mask "
+    "annotation annotation-xml".split()
+)
+#: Start tags that do not end the head.
+IN_HEAD = frozenset("html head title script style template noscript base basefont bgsound link meta noframes".split())
+#: Drawn only where a ``use`` element asks for them.
+REUSED = frozenset("defs symbol".split())
+FOREIGN = frozenset("svg math".split())
+#: Parts of drawings and formulas that hold HTML, and the start tags that end a drawing or formula elsewhere.
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements whose style elements do not apply.
+INERT = frozenset("noscript template iframe noframes".split())
 #: Blocks and the blank lines they keep above and below.
 BLOCKS = dict.fromkeys(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend "
@@ -50,9 +72,21 @@ SCOPE = frozenset("table td th caption".split())
 LONGEST_CELL = 80
 
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[.#][\w-]+")
-_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_STYLE = re.compile(r"<style\b", re.I)
+_USE = re.compile(r"<(?:\w+:)?use\b", re.I)
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|url\([^)\"']*\)", re.S | re.I)
+_CSS_MARK = re.compile(r"[{};]")
+_SIMPLE = re.compile(r"[.#][\w-]+|\[hidden\]")
+_COMMA = re.compile(r",(?![^(]*\))")
+_BRACKETS = re.compile(r"(?<!\\)\[[^\]]*\]|\([^()]*\)")
+_COMBINATOR = re.compile(r"[\s>+~]+")
+_PSEUDO_ELEMENT = re.compile(r"(?<!\\):(?::|(?:before|after|first-line|first-letter)\b)", re.I)
+_PSEUDO_CLASS = re.compile(r"(?<!\\):[\w-]+")
+_NAME = re.compile(r"([.#]?)((?:\\.|[\w-])+)")
+_HEX_ESCAPE = re.compile(r"\\[0-9a-fA-F]")
+_WEIGHTS = (re.compile(r"(?<!\\)#"), re.compile(r"(?<!\\)[.\[:]"), re.compile(r"(?:^|[\s>+~(,])[a-zA-Z]"))
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([^;}]*)", re.I)
 _VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
 
 
@@ -109,18 +143,145 @@ class Flow:
         return self.lines
 
 
+def display_of(declarations: str) -> tuple[bool, bool] | None:
+    """(important, shown) of the display declaration that counts; None without any."""
+    counts = None
+    for value in _DISPLAY.findall(declarations):
+        value, _, flag = value.lower().partition("!")
+        important = flag.strip() == "important"
+        if value.strip() and (counts is None or important >= counts[0]):
+            counts = (important, value.strip() != "none")
+    return counts
+
+
+def _applies(media: str) -> int:
+    """Whether a list of media is that of a screen: 2 surely, 1 perhaps, 0 never."""
+    kinds = [" ".join(m.lower().split()).removeprefix("only ") for m in media.split(",")]
+    if any(k in ("", "all", "screen") for k in kinds):
+        return 2
+    return 0 if all(k.split(" ")[0] in ("print", "speech") for k in kinds) else 1
+
+
+def css_rules(css: str, applies: int = 2) -> Iterator[tuple[str, str, int]]:
+    """(selectors, declarations, applies) of all rules, those in at-rules and nested ones included."""
+    css = _CSS_STRING.sub('""', _CSS_NOISE.sub(" ", css))
+    blocks: list[tuple[str, list[str], int]] = []
+    at = 0
+    for mark in [*_CSS_MARK.finditer(css), None]:
+        piece = css[at : mark.start() if mark else len(css)].strip()
+        at = mark.end() if mark else at
+        outer, _, state = blocks[-1] if blocks else ("", [], applies)
+        if mark and mark[0] == "{":
+            if piece.startswith("@"):
+                name, _, condition = piece.partition(" ") if " " in piece else piece.partition("(")
+                own = _applies(condition) if name.lower() == "@media" else 1
+                blocks.append((outer, [], min(state, own)))
+            else:
+                nested = piece.replace("&", "" if "," in outer else outer)
+                blocks.append((nested, [], min(state, 1) if outer else state))
+            continue
+        if blocks:
+            blocks[-1][1].append(piece)
+        while blocks and (mark is None or mark[0] == "}"):
+            selectors, declarations, state = blocks.pop()
+            if selectors:
+                yield selectors, ";".join(declarations), state
+            if mark:
+                break
+
+
+class Sheet(HTMLParser):
+    """The display rules of a page's style elements."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.hides: dict[str, tuple] = {}  # weight of the strongest rule by class, id or [hidden]
+        self.shows: list[tuple[tuple, frozenset[str]]] = []  # weight, names an element must have
+        self.inert: dict[str, int] = dict.fromkeys(INERT, 0)
+        self.applies = 0
+        self.css: list[str] | None = None
+        self.rules = 0
+        if _STYLE.search(page):
+            self.feed(page)
+            self.close()
+            self.handle_endtag("style")
+
+    def handle_starttag(self, tag: str, attributes: list) -> None:
+        if tag in self.inert:
+            self.inert[tag] = self.inert[tag] + 1 if tag == "template" else 1
+        elif tag == "style" and not any(self.inert.values()):
+            a = {k: v or "" for k, v in attributes}
+            if a.get("type", "").strip().lower() in ("", "text/css"):
+                self.css, self.applies = [], _applies(a.get("media", ""))
+
+    def handle_startendtag(self, tag: str, attributes: list) -> None:
+        if tag != "style":
+            self.handle_starttag(tag, attributes)
+
+    def handle_data(self, data: str) -> None:
+        if self.css is not None:
+            self.css.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.inert:
+            self.inert[tag] = max(0, self.inert[tag] - 1)
+        elif tag == "style" and self.css is not None:
+            for selectors, declarations, applies in css_rules("".join(self.css), self.applies):
+                if applies and (found := display_of(declarations)):
+                    for selector in _COMMA.split(selectors):
+                        self.add(selector.strip(), *found, applies)
+            self.css = None
+
+    def add(self, selector: str, important: bool, shown: bool, applies: int) -> None:
+        self.rules += 1
+        weight = (important, 0, *(len(w.findall(selector)) for w in _WEIGHTS), self.rules)
+        if not shown:
+            if applies == 2 and _SIMPLE.fullmatch(selector):
+                self.hides[selector] = max(weight, self.hides.get(selector, weight))
+            return
+        bare = selector
+        while bare != (bare := _BRACKETS.sub("", bare)):
+            pass
+        last = _COMBINATOR.split(bare)[-1]
+        if not _PSEUDO_ELEMENT.search(last):
+            names = _NAME.findall(_PSEUDO_CLASS.sub("", last))
+            needed = {(k + n.replace("\\", "")) if k else n.lower() for k, n in names if not _HEX_ESCAPE.search(n)}
+            self.shows.append((weight, frozenset(needed)))
+
+    def hidden(self, tag: str, a: dict[str, str]) -> bool:
+        """Whether the cascade says ``display:none``, the ``hidden`` attribute and closed dialogs being its weakest rules."""
+        own = display_of(a["style"]) if "style" in a else None
+        names = {f".{c}" for c in a.get("class", "").split()} | {f"#{a.get('id', '')}", tag}
+        found = []
+        if "hidden" in a:
+            names.add("[hidden]")
+        if "hidden" in a or (tag == "dialog" and "open" not in a):
+            found.append((False, -1))
+        if own and not own[1]:
+            found.append((own[0], 1))
+        found += [self.hides[n] for n in names if n in self.hides]
+        if not found:
+            return False
+        strongest = max(found)
+        if own and own[1] and (own[0], 1) > strongest:
+            return False
+        return not any(weight > strongest and needed <= names for weight, needed in self.shows)
+
+
 class Page(HTMLParser):
     """Events of one page; ``text`` gives the result."""
 
-    def __init__(self) -> None:
+    def __init__(self, page: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.sheet = Sheet(page)
+        self.hidden_tags = HIDDEN if _USE.search(page) else HIDDEN | REUSED
+        self.foreign = 0
         self.open: list[tuple[str, bool, bool]] = []  # tag, displayed, visible
         self.flows = [Flow()]
         self.lists: list[list] = []  # [numbered, next number]
         self.markers: list[int] = []
         self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.pre = 0
-        self.unshown: set[str] = set()
 
     # open elements
 
@@ -139,7 +300,18 @@ class Page(HTMLParser):
             if tag in tags:
                 return
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.leave()
+
     def handle_starttag(self, tag: str, attributes: list) -> None:
+        if tag == "head" and any(t != "html" for t, _, _ in self.open):
+            return
+        if tag not in IN_HEAD:
+            self.end_head()
+        if self.foreign and tag in ENDS_FOREIGN:
+            while self.has(FOREIGN, HTML_INSIDE):
+                self.close_through(FOREIGN)
         for starts, ended, boundary in IMPLIED_END:
             if tag in starts:
                 while self.has(ended, boundary):
@@ -153,7 +325,20 @@ class Page(HTMLParser):
             self.leave()
 
     def handle_startendtag(self, tag: str, attributes: list) -> None:
+        depth = len(self.open)
         self.handle_starttag(tag, attributes)
+        # only drawings, formulas and what is in them close themselves
+        if tag in FOREIGN or (self.foreign and len(self.open) > depth and self.drawn()):
+            self.leave()
+
+    def drawn(self) -> bool:
+        """Whether the innermost element belongs to a drawing or formula, not to HTML inside one."""
+        for tag, _, _ in reversed(self.open[:-1]):
+            if tag in FOREIGN:
+                return True
+            if tag in HTML_INSIDE:
+                return False
+        return False
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not self.has({"p"}, SCOPE):
@@ -166,35 +351,30 @@ class Page(HTMLParser):
 
     def enter(self, tag: str, a: dict[str, str]) -> None:
         displayed, visible = self.open[-1][1:] if self.open else (True, True)
-        style = a.get("style", "")
-        names = {f".{c}" for c in a.get("class", "").split()} | {f"#{a.get('id', '')}"}
         if (
-            tag in HIDDEN
-            or "hidden" in a
+            tag in self.hidden_tags
             or (tag == "input" and a.get("type", "").lower() == "hidden")
-            or (tag == "dialog" and "open" not in a)
-            or _NO_DISPLAY.search(style)
-            or names & self.unshown
+            or self.sheet.hidden(tag, a)
         ):
             displayed = False
-        if found := _VISIBILITY.search(style):
+        if found := _VISIBILITY.search(a.get("style", "")):
             visible = found[1].lower() not in ("hidden", "collapse")
         self.open.append((tag, displayed, visible))
+        self.foreign += tag in FOREIGN
         if displayed:
             self.begin(tag, a)
 
     def leave(self) -> None:
         tag, displayed, _ = self.open.pop()
+        self.foreign -= tag in FOREIGN
         if displayed:
             self.end(tag)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         tag, displayed, visible = self.open[-1] if self.open else ("", True, True)
-        if tag == "style":
-            for selectors, body in _RULE.findall(data):
-                if _NO_DISPLAY.search(body):
-                    self.unshown |= {s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip())}
-        elif displayed and visible and not (tag in ("table", "tr", "tbody", "thead", "tfoot") and not data.strip()):
+        if displayed and visible and not (tag in ("table", "tr", "tbody", "thead", "tfoot") and not data.strip()):
             (self.flows[-1].exact if self.pre else self.flows[-1].inline)(data)
 
     # layout
@@ -206,6 +386,8 @@ class Page(HTMLParser):
             return
         if tag == "wbr":
             return
+        if tag == "text" and self.foreign and not self.pre:
+            flow.inline(" ")
         if tag in BLOCKS:
             flow.block(0 if self.lists and tag in ("ul", "ol") else BLOCKS[tag])
         if tag == "pre":
@@ -243,6 +425,8 @@ class Page(HTMLParser):
             lines = self.flows.pop().done()
             self.tables[-1][-1][-1][0].extend(lines)
             return
+        if tag == "text" and self.foreign and not self.pre:
+            self.flows[-1].inline(" ")
         if tag == "table" and self.tables:
             for line in aligned(self.tables.pop()):
                 self.flows[-1].put(line)
@@ -290,7 +474,7 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 def visible_text(page: str | None) -> str | None:
     if page is None:
         return None
-    builder = Page()
+    builder = Page(page)
     builder.feed(page)
     return builder.text()
 

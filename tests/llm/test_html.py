@@ -42,3 +42,56 @@ def test_frame(spark):
         [(1, "a"), (1, "a"), (None, None), (2, "")], key=str
     )
     assert html.extracted(pages.limit(0)).count() == 0
+
+
+STYLES = {
+    "@media print{.x{display:none}}": "<p class=x>shown",
+    "@media (max-width:600px){.x{color:red}.x{display:none}}": "<p class=x>shown",
+    "@media screen{.x{display:none}}": "<p class=x>no</p>shown",
+    "@import url(a;b.css);.x{display:none}": "<p class=x>no</p>shown",
+    "/* .x{ */.x{content:'}';display:none}": "<p class=x>no</p>shown",
+    ".tab{display:none} .tab.active{display:block}": "<p class='tab active'>shown<p class=tab>no",
+    ".tab{display:none} .tab{display:block}": "<p class=tab>shown",
+    ".tab{display:block} .tab{display:none}": "<p class=tab>no</p>shown",
+    ".tab{display:none;display:flex}": "<p class=tab>shown",
+    ".tab{display:none!important} .tab{display:block}": "<p class=tab>no</p>shown",
+    "#x{display:none} .y{display:block} p{display:block}": "<p id=x class=y>no</p>shown",
+    ".x{display:none} .open > .x{display:block}": "<div class=open><p class=x>shown</div>",
+    ".x{display:none} .x::after{display:block}": "<p class=x>no</p>shown",
+    ".hidden{display:none} @media(min-width:768px){.md\\:block{display:block}}": "<p class='hidden md:block'>shown<p class=hidden>no",
+    ".x{display:none} ": "<p class=x style='display:block'>shown<p class=x style='color:red'>no",
+    ".m{display:flex} [hidden]{display:none!important}": "<p class=m hidden>no</p>shown",
+    ".m{display:flex}": "<p class=m hidden>shown",
+    ".y{display:none}</style><noscript><style>.x{display:none}</style></noscript><style>": "<p class=x>shown",
+    ".y{display:none}</style><style media=print>.x{display:none}": "<p class=x>shown",
+}
+
+
+@pytest.mark.parametrize("css", STYLES)
+def test_only_what_the_cascade_hides_is_left_out(css):
+    assert visible_text(f"<style>{css}</style>{STYLES[css]}") == "shown"
+
+
+def test_styles_apply_wherever_they_stand():
+    assert visible_text("<style>.x{display:none}</style><p class=x>shown<style>.x{display:block}</style>") == "shown"
+    assert visible_text("<p class=x>no</p>shown<style>.x{display:none}</style>") == "shown"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    {
+        "<head><title>t</title><h1>Hello</h1><p>text": "Hello\n\ntext",
+        "<html><head><title>t</title>Hello <b>you": "Hello you",
+        "<head><noscript><img src=x>no</noscript><meta name=a><x-own>a</x-own>": "a",
+        "<body>a<head><title>t</title></head>b": "ab",
+        "<svg class=icon /><p>after": "after",
+        "a <math/>b": "a b",
+        "<svg><title>no</title><path d='M0'/><title/><text x=1>one</text><text>two</text></svg>": "one two",
+        "x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "x y=2",
+        "<svg><defs><text>no</text></defs><p>after": "after",
+        "<svg><defs><text id=t>used</text></defs><use href='#t'/></svg>": "used",
+        "<map name=m><p>in a map<area></map>": "in a map",
+    }.items(),
+)
+def test_open_heads_drawings_and_formulas(page, text):
+    assert visible_text(page) == text
