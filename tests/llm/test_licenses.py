@@ -73,3 +73,52 @@ def test_contained_detections_are_suppressed(spark):
 
 def test_empty_table(nothing):
     assert licenses.detected(nothing)[0].count() == 0
+
+
+def ungated(text):
+    """Labels of the detections that stand when every rule runs on every text."""
+    norm = " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower()))
+    spans = []
+    for k, (_, expression, _, _) in enumerate(licenses.rules()):
+        for match in re.finditer(f"(?<![^ ])(?:{expression})(?![^ ])", norm):
+            start = norm[: match.start()].count(" ")
+            spans.append((start, -(start + match[0].count(" ") + 1), k))
+    standing, reach = set(), -1
+    for _, end, k in sorted(spans):
+        if -end > reach:
+            standing.add(licenses.rules()[k][2])
+        reach = max(reach, -end)
+    return standing
+
+
+def test_gates_lose_nothing(spark):
+    ends = lambda expression: {f(sorted(licenses.variants(expression)), key=len) for f in (min, max)}
+    texts = {body for _, expression, _ in licenses.BODIES for body in ends(expression)}
+    for form, _ in licenses.FORMS:
+        for _, name, short in licenses.LICENSES:
+            for k, filled in enumerate(sorted(ends(form.format(name="\0", short="\0", full="\0")))):
+                texts |= {filled.replace("\0", (short or name).split("(")[0].strip() if "{short}" in form else v) for v in ends(name)}
+    texts = sorted(texts)
+    shown = [t.replace(" ", ("\n# ", "  ", "-", "\n * ")[k % 4]).upper() if k % 2 else t for k, t in enumerate(texts)]
+    table, m = licenses.detected(make(spark, shown))
+    got = {r["text"]: set(r["own"]) for r in table.select("text", licenses.own_labels(F.col(m)).alias("own")).collect()}
+    assert len(texts) > 500
+    for text in shown:
+        assert got[text] == ungated(text), text
+
+
+def test_names_without_the_word_license(spark):
+    cases = {
+        "Released under the MIT.": "mit",
+        "distributed under the terms of the GNU GPL v2": "gpl-2.0",
+        "available under the LGPLv3": "lgpl-3.0",
+        "published under the GNU Library General Public License": "gpl,lgpl",
+        "Permission to use, copy, modify, and/or distribute this\n# software for any purpose": "isc",
+        "Redistributions in source and\n * binary forms, with or without modification": "bsd",
+        "All  rights\n// reserved": "proprietary",
+        "you may not use this file except in compliance with the License": "apache-2.0",
+        "released under the PSF": "python",
+        "an artistic commit under the permit": "",
+    }
+    labels = {r["text"]: r["labels"] for r in found(make(spark, list(cases)))}
+    assert labels == cases
