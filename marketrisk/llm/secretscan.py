@@ -1,12 +1,13 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests for everything that looks like a key.
 
 Three fixed kinds (assigned passwords, access key ids, long hex strings) are found first.  The method adds
-kind ``random``: maximal runs of key characters whose encoding is inferred (digits, hex, letters and digits of one
-case, base64) are tested against the hypothesis that they are uniformly random in that encoding: chi-squared of the symbol
+kind ``random``: maximal runs of key characters whose encoding is inferred (hex or letters and digits of one case, with
+``-`` and ``_`` as separators that do not count; letters and digits of both cases; base64) are tested against the hypothesis that they are uniformly random in that encoding: chi-squared of the symbol
 counts, the Wald-Wolfowitz runs test about the alphabet's middle, and the lag-one serial correlation.  The
 smallest of the three p-values, tripled, is the run's.  A Benjamini-Hochberg step over all runs
 of the corpus, with weights growing with length as longer strings give the tests more power, rejects
-those that are not random; what stands is reported.
+those that are not random; what stands is reported.  No weight dismisses a run whose own p is above the level, so a
+random string of any length is dismissed with at most that probability.
 
 Positions are code points.  Everything is built-in column functions: matches come from regexp_extract_all, what
 lies between them from split, and running lengths of both give the positions.
@@ -30,6 +31,8 @@ HEX = r"[0-9a-f]{32,}"
 KEYLIKE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 8
+#: Symbols a candidate must have besides separators.
+LEAST_SYMBOLS = 16
 #: Share of truly random strings among the dismissed ones.
 FALSE_DISCOVERY = 0.05
 #: Steps of log10 p in which the step-up rule is evaluated, and its floor.
@@ -78,15 +81,22 @@ def alphabet_of(body: Column) -> Column:
     """
     digits, small, large = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     has_digit, has_small, has_large = body.rlike("[0-9]"), body.rlike("[a-z]"), body.rlike("[A-Z]")
+    bare = _bare(body)
     return (
-        F.when(~has_digit | ~(has_small | has_large), F.lit(None).cast("string"))
-        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(digits + "abcdef"))
-        .when(body.rlike("^[0-9a-z]+$"), F.lit(digits + small))
-        .when(body.rlike("^[0-9A-Z]+$"), F.lit(digits + large))
+        F.when(~has_digit | ~(has_small | has_large) | (F.length(bare) < LEAST_SYMBOLS), F.lit(None).cast("string"))
+        .when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(digits + "abcdef"))
+        .when(bare.rlike("^[0-9a-z]+$"), F.lit(digits + small))
+        .when(bare.rlike("^[0-9A-Z]+$"), F.lit(digits + large))
+        .when(body.rlike("^[0-9A-Za-z]+$"), F.lit(digits + large + small))
         .when(has_small & has_large, F.lit(digits + large + small + "+/"))
     )
 
 
+def _bare(body: Column) -> Column:
+    """Without separators."""
+    return F.translate(body, "-_", "")
+
+
 def _moments(codes: Column, size: Column) -> Column:
     """One pass over the symbol values: sums, products of neighbours, symbols of the upper half, changes of half."""
     zero = F.struct(
@@ -130,7 +140,11 @@ def with_p_value(candidates: Column) -> Column:
 
     def measured(x: Column) -> Column:
         alphabet = x["alphabet"]
-        shown = F.when(F.length(alphabet) == 16, F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
+        shown = (
+            F.when(F.length(alphabet) == 64, F.translate(x["body"], "-_", "+/"))
+            .when(F.length(alphabet) == 16, F.lower(_bare(x["body"])))
+            .otherwise(_bare(x["body"]))
+        )
         size = F.length(alphabet).cast("double")
         counts = F.transform(F.split(alphabet, ""), lambda c: F.length(shown) - F.length(F.replace(shown, c, F.lit(""))))
         codes = F.transform(F.split(shown, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
@@ -195,9 +209,12 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _step(x: Column, mean_length: Column) -> Column:
-    """Candidates as steps of -log10 of p over its weight, the length over the mean length; capped at the floor."""
-    weighted = x["p"] * mean_length / x["n"]
+def _step(x: Column, mean_length: Column, level: float) -> Column:
+    """Candidates as steps of -log10 of p over its weight, the length over the mean length; capped at the floor.
+
+    A p above the level counts as 1 whatever its weight: every cut is above that step.
+    """
+    weighted = F.when(x["p"] > level, 1.0).otherwise(x["p"] * mean_length / x["n"])
     return F.least(
         F.floor(-F.log10(F.greatest(weighted, F.lit(10.0**-DECADES))) * STEPS_PER_DECADE), F.lit(DECADES * STEPS_PER_DECADE)
     )
@@ -210,7 +227,7 @@ def dismissal(scored: DataFrame, m: str, level: float = FALSE_DISCOVERY) -> Data
     """
     candidates = scored.select(F.explode(F.col(m)["tested"]).alias("x"))
     mean = candidates.agg(F.avg("x.n").alias("mean_length"))
-    steps = candidates.join(F.broadcast(mean)).select(_step(F.col("x"), F.col("mean_length")).alias("step"))
+    steps = candidates.join(F.broadcast(mean)).select(_step(F.col("x"), F.col("mean_length"), level).alias("step"))
     counts = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     down = Window.orderBy(F.col("step").desc())  # a bounded number of steps, however many candidates
     ranked = counts.select(
@@ -233,7 +250,7 @@ def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -
     joined = scored.join(F.broadcast(cut))  # one row
     kept = F.filter(
         F.col(m)["tested"],
-        lambda x: F.coalesce(_step(x, F.col(f"{m}_mean_length")) < F.col(f"{m}_cut"), F.lit(True)),
+        lambda x: F.coalesce(_step(x, F.col(f"{m}_mean_length"), level) < F.col(f"{m}_cut"), F.lit(True)),
     )
     parts = [F.col(m)[k] for k in KINDS[:3]] + [kept]
 

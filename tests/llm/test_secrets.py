@@ -69,3 +69,30 @@ def test_redaction(spark, odd, nothing):
 
 def test_empty_spans_hash():
     assert hashlib.sha256(brute(None).encode()).hexdigest().startswith("e3b0c442")
+
+
+def identifiers(n):
+    words = "account balance transfer report session market history window volume series".split()
+    r = random.Random(7)
+    return [f"{''.join(w.capitalize() for w in r.choices(words, k=4))}{k % 10}" for k in range(n)]
+
+
+def test_long_random_keys_stand_among_identifiers(spark):
+    lengths = [200, 400, 600, 1000, 2000, 5000] * 10
+    keys = [key(k, symbols, n) for symbols in (B64, B64[:62]) for k, n in enumerate(lengths)]
+    rows = {r["doc_id"]: r["spans"] for r in rows_of(make(spark, keys + identifiers(2000)))}
+    for n in set(lengths):
+        at = [k for k in range(len(keys)) if len(keys[k]) == n]
+        assert sum("random" in rows[k] for k in at) >= 0.75 * len(at), n
+    assert sum("random" in rows[k] for k in range(len(keys))) >= 0.9 * len(keys)
+    assert sum("random" in rows[k] for k in range(len(keys), len(rows))) <= 500  # a quarter
+
+
+def test_keys_of_one_case_with_separators(spark):
+    small, large = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    shaped = lambda k: "-".join(key(100 * k + j, "0123456789abcdef", n) for j, n in enumerate((8, 4, 4, 4, 12)))
+    keys = [shaped(k) for k in range(30)] + [key(k, small + "-_", 40) for k in range(30)]
+    keys += ["-".join(key(100 * k + j, large, 5) for j in range(6)) for k in range(30)]
+    rows = {r["doc_id"]: r["spans"] for r in rows_of(make(spark, keys + identifiers(500) + ["-" * 30 + "a1"]))}
+    assert sum("random" in rows[k] for k in range(len(keys))) >= 0.85 * len(keys)
+    assert rows[len(rows) - 1] == ""
