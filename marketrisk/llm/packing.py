@@ -8,12 +8,11 @@ Tokens are written once to the shared folder.  Sorting and offsets use narrow ro
 token ids themselves are shuffled once, to meet their offsets.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and null ids are documents like others;
-an empty table gives no piece.  Special tokens' strings in a text are ordinary text.
+an empty table gives no piece; a special token's string is that token, as in the tokenizers library at its defaults.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,36 +26,22 @@ from pyspark.sql import types as T
 from marketrisk.llm.ordering import hilbert_index, quantile_codes, running_offsets
 from marketrisk.llm.shared import materialised
 from marketrisk.llm.textbytes import mix
+from marketrisk.llm.tokens import Encoder
 
 SEQUENCE = 1024
 END_ID = 0
-#: Vocabulary file of the tokenizers library; the ranks of the same vocabulary drive the faster encoder.
-VOCABULARY = "byte_bpe_50k.json"
-RANKS = "byte_bpe_50k.tiktoken"
 BUCKETS, DIMENSIONS, BITS, SEED = 256, 4, 6, 11
 
 
-def encoder(ranks: str = RANKS):
-    """Encoder with the ids of ``VOCABULARY``: byte-level BPE, ids below 65,536."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(ranks), "rb") as lines:
-        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-
-
 def projections() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def document_vectors(ids: list[np.ndarray]) -> np.ndarray:
-    """Projected, length-normalised hashed count vectors, one row per document."""
-    lengths = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.uint64)
-    bucket = (mix(flat + np.uint64(SEED)) % np.uint64(BUCKETS)).astype(np.int64)
-    rows = np.repeat(np.arange(len(ids)), lengths)
-    counts = np.bincount(rows * BUCKETS + bucket, minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+def document_vectors(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Projected, length-normalised hashed count vectors, one row per document; no document is empty."""
+    bucket = (mix(ids.astype(np.uint64) + np.uint64(SEED)) % np.uint64(BUCKETS)).astype(np.int64)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    counts = np.bincount(rows * BUCKETS + bucket, minlength=len(lengths) * BUCKETS).reshape(len(lengths), BUCKETS)
     vectors = np.sqrt(counts)
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ projections()
 
@@ -71,25 +56,26 @@ def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
         full = full.add(f"_x{k}", "double")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder()
+        encoder = Encoder()
         uid = TaskContext.get().partitionId() << 33
-        end = np.array([END_ID], np.uint16)
         for whole in batches:
+            every, counts = encoder.encode(whole.column(len(others)))
+            every = np.insert(every, np.cumsum(counts), END_ID).astype("<u2")
+            begins = np.concatenate([[0], np.cumsum(counts + 1)])
             for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                ids = [
-                    np.concatenate([bpe.encode_to_numpy(t or "", disallowed_special=()).astype(np.uint16), end])
-                    for t in batch.column(len(others)).to_pylist()
-                ]
-                x = document_vectors(ids)
+                batch, n = whole.slice(first, 256), counts[first : first + 256] + 1
+                ids = every[begins[first] : begins[first] + n.sum()]
+                x = document_vectors(ids, n)
+                ends = np.concatenate([[0], 2 * np.cumsum(n)])
+                blobs = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]
                 columns = [
                     *batch.columns[: len(others)],
-                    pa.array(np.arange(uid, uid + len(ids))),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
+                    pa.array(np.arange(uid, uid + len(n))),
+                    pa.array(n),
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), blobs).cast(pa.binary()),
                     *[pa.array(x[:, k]) for k in range(DIMENSIONS)],
                 ]
-                uid += len(ids)
+                uid += len(n)
                 yield pa.RecordBatch.from_arrays(columns, names=full.names)
 
     return wanted.mapInArrow(encode, full)
