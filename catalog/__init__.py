@@ -10,6 +10,7 @@ MODULES = [
     "evaluation",
     "source_checks",
     "heads",
+    "boosting",
     "full_job",
 ]
 

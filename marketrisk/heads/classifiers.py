@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div
+from marketrisk.functions.concurrent import concurrently
 
 CLASSES = 3
 SEED = 42
@@ -130,20 +132,35 @@ def fourier_features(width: int, size: int, gamma: float, seed: int = SEED) -> C
     return lambda vector: array_to_vector(mapped(vector_to_array(vector)))
 
 
-def kernel_svm(train: DataFrame, width: int, size: int = 200, penalty: float = 0.01, rounds: int = 50) -> Head:
-    """Linear SVMs per class on random Fourier features, with logistic calibration of the margin."""
+def kernel_svm(
+    train: DataFrame, width: int, size: int = 200, penalty: float = 0.01, rounds: int = 50, folds: int = 3
+) -> Head:
+    """Linear SVMs per class on random Fourier features, with logistic calibration of the margin.
+
+    The calibration sees margins of machines that did not see the row: rows are dealt into ``folds`` by a hash of their
+    features, so equal rows share a fold.
+    """
     spread = train.select(F.explode(vector_to_array(FEATURES)).alias("v")).agg(F.var_pop("v")).first()[0]
     lift = fourier_features(width, size, gamma=1.0 / (width * spread) if spread else 1.0)
     lifted = train.withColumn("_z", lift(F.col(FEATURES)))
+    lifted = lifted.withColumn("_fold", F.pmod(F.xxhash64(vector_to_array(FEATURES)), F.lit(folds)))
+
+    def machine(k: int, rows: DataFrame):
+        rows = rows.withColumn("_is", (F.col(LABEL) == k).cast("double"))
+        one = LinearSVC(featuresCol="_z", labelCol="_is", regParam=penalty, maxIter=rounds)
+        return _weighted(one, train).fit(rows).setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}")
+
+    wanted = [(k, fold) for k in range(CLASSES) for fold in (None, *range(folds))]
+    parts = {fold: lifted.filter(F.col("_fold") != fold) for fold in range(folds)} | {None: lifted}
+    fits = [partial(machine, k, parts[fold]) for k, fold in wanted]
+    machines = dict(zip(wanted, concurrently(train.sparkSession, fits), strict=True))
     pairs = []
     for k in range(CLASSES):
-        rows = lifted.withColumn("_is", (F.col(LABEL) == k).cast("double"))
-        machine = LinearSVC(featuresCol="_z", labelCol="_is", regParam=penalty, maxIter=rounds)
-        machine = _weighted(machine, train).fit(rows).setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}")
-        margins = _margin(machine.transform(rows), k)
+        held_out = [_margin(machines[k, f].transform(lifted.filter(F.col("_fold") == f)), k) for f in range(folds)]
+        margins = reduce(DataFrame.unionByName, held_out).withColumn("_is", (F.col(LABEL) == k).cast("double"))
         platt = LogisticRegression(featuresCol=f"_m{k}", labelCol="_is", maxIter=50)
         platt = platt.fit(margins).setProbabilityCol(f"_v{k}").setRawPredictionCol(f"_w{k}").setPredictionCol(f"_d{k}")
-        pairs.append((machine, platt))
+        pairs.append((machines[k, None], platt))
 
     def score(df: DataFrame) -> DataFrame:
         df = df.withColumn("_z", lift(F.col(FEATURES)))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div
+from marketrisk.functions.concurrent import concurrently
 from marketrisk.heads.classifiers import CLASSES, FEATURES, LABEL, WEIGHT, Head, _multiclass, assembled
 
 Fit = Callable[[DataFrame], Head]
@@ -40,14 +42,17 @@ def with_disagreement(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def out_of_fold(rows: DataFrame, bases: dict[str, Fit], fold_numbers: Sequence[int]) -> DataFrame:
     """Test rows of every fold with the probabilities of models fitted on that fold's train rows.
 
-    Rows outside all test folds have no out-of-fold prediction and do not appear.
+    Rows outside all test folds have no out-of-fold prediction and do not appear.  The fits run side by side.
     """
+    in_role = lambda number, role: rows.filter((F.col("fold") == number) & (F.col("role") == role))
+    wanted = [(number, name) for number in fold_numbers for name in bases]
+    fits = [partial(bases[name], in_role(number, "train")) for number, name in wanted]
+    heads = dict(zip(wanted, concurrently(rows.sparkSession, fits), strict=True))
     parts = []
     for number in fold_numbers:
-        fold = rows.filter(F.col("fold") == number)
-        train, test = fold.filter("role = 'train'"), fold.filter("role = 'test'")
-        for name, fit in bases.items():
-            test = scored_as(fit(train), test, name)
+        test = in_role(number, "test")
+        for name in bases:
+            test = scored_as(heads[number, name], test, name)
         parts.append(test)
     out = parts[0]
     for part in parts[1:]:
@@ -74,13 +79,18 @@ def fit_stack(
         df = with_disagreement(df, names) if len(names) > 1 else df
         return assembled(df.drop(FEATURES), columns)
 
-    train = meta_rows(out_of_fold(rows, bases, fold_numbers))
-    train = weigh(train) if weigh else train
-    learner = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, family="multinomial", regParam=penalty, maxIter=200)
-    model = (learner.setWeightCol(WEIGHT) if WEIGHT in train.columns else learner).fit(train)
-    importances = abs(model.coefficientMatrix.toArray()).mean(axis=0).tolist()
-    meta = _multiclass("stack", model, importances)
-    fitted = {name: fit(everything) for name, fit in bases.items()}
+    def fit_meta() -> Head:
+        train = meta_rows(out_of_fold(rows, bases, fold_numbers))
+        train = weigh(train) if weigh else train
+        learner = LogisticRegression(
+            featuresCol=FEATURES, labelCol=LABEL, family="multinomial", regParam=penalty, maxIter=200
+        )
+        model = (learner.setWeightCol(WEIGHT) if WEIGHT in train.columns else learner).fit(train)
+        return _multiclass("stack", model, abs(model.coefficientMatrix.toArray()).mean(axis=0).tolist())
+
+    refits = [partial(fit, everything) for fit in bases.values()]
+    meta, *heads = concurrently(rows.sparkSession, [fit_meta, *refits])
+    fitted = dict(zip(names, heads, strict=True))
 
     def predict(df: DataFrame) -> DataFrame:
         for name, head in fitted.items():

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketrisk.functions.concurrent import concurrently
 from marketrisk.functions.frames import rolling_mean
 from marketrisk.series import Series
 
@@ -75,14 +77,17 @@ def fit_har(train: DataFrame, target: str):
 def out_of_fold(rows: DataFrame, bases: dict[str, Base], target: str, fold_numbers: Sequence[int]) -> DataFrame:
     """Predictions of all bases for the test rows of every fold, each made by models of that fold's train rows.
 
-    ``rows`` carry ``fold`` and ``role``.
+    ``rows`` carry ``fold`` and ``role``.  The fits run side by side.
     """
+    in_role = lambda number, role: rows.filter((F.col("fold") == number) & (F.col("role") == role))
+    wanted = [(number, name) for number in fold_numbers for name in bases]
+    fits = [partial(fit_base, name, bases[name], in_role(number, "train"), target) for number, name in wanted]
+    models = dict(zip(wanted, concurrently(rows.sparkSession, fits), strict=True))
     parts = []
     for number in fold_numbers:
-        fold = rows.filter(F.col("fold") == number)
-        train, test = fold.filter("role = 'train'"), fold.filter("role = 'test'")
-        for name, base in bases.items():
-            test = fit_base(name, base, train, target)(test)
+        test = in_role(number, "test")
+        for name in bases:
+            test = models[number, name](test)
         parts.append(test)
     out = parts[0]
     for part in parts[1:]:
@@ -95,9 +100,13 @@ def fit_ensemble(
 ):
     """Bases refitted on everything, and an elastic-net meta model of their out-of-fold predictions."""
     hats = [f"hat_{name}" for name in bases]
-    meta_rows = out_of_fold(rows, bases, target, fold_numbers)
-    meta = fit_base("ensemble", Base(lambda: elastic_net(0.01), tuple(hats)), meta_rows, target)
-    fitted = [fit_base(name, base, everything, target) for name, base in bases.items()]
+
+    def fit_meta():
+        meta_rows = out_of_fold(rows, bases, target, fold_numbers)
+        return fit_base("ensemble", Base(lambda: elastic_net(0.01), tuple(hats)), meta_rows, target)
+
+    refits = [partial(fit_base, name, base, everything, target) for name, base in bases.items()]
+    meta, *fitted = concurrently(rows.sparkSession, [fit_meta, *refits])
 
     def predict(df: DataFrame) -> DataFrame:
         for one in fitted:
