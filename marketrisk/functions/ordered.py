@@ -15,15 +15,19 @@ would sort it in one task.  The helpers here cut such a group along its clock:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketrisk.functions.lineage import checkpointed
 from marketrisk.series import HALO, Series
 
 BLOCK_ROWS = 65_536
 SALTS = 32
 SKETCH_ACCURACY = 20_000
+#: Of the sketches whose bracketed values are listed in place.
+WIDE_ACCURACY = 200_000
 BRACKET_BUCKETS = 256
 
 
@@ -134,13 +138,13 @@ def join_per_group(
     return keyed.join(salted, [*group, "_salt"])
 
 
-def sketch_aggs(wanted: dict[str, tuple[str, float]]) -> list[Column]:
+def sketch_aggs(wanted: dict[str, tuple[str, float]], accuracy: int = SKETCH_ACCURACY) -> list[Column]:
     """Aggregates ``_s_<name>``: two values that enclose the wanted quantile of their column, but for one neighbour."""
-    slack = 2.0 / SKETCH_ACCURACY
+    slack = 2.0 / accuracy
     return [
-        F.percentile_approx(
-            c, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(SKETCH_ACCURACY)
-        ).alias(f"_s_{n}")
+        F.percentile_approx(c, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(accuracy)).alias(
+            f"_s_{n}"
+        )
         for n, (c, q) in wanted.items()
     ]
 
@@ -156,6 +160,67 @@ def exact_quantiles(
     return quantiles_between(df, df.groupBy(*group).agg(*sketch_aggs(wanted)), group, wanted, salt_by)
 
 
+def quantiles_in_place(
+    df: DataFrame,
+    sketches: DataFrame,
+    group: Sequence[str],
+    wanted: dict[str, tuple[str, float]],
+    salt_by: str,
+) -> DataFrame:
+    """Exact quantiles of many columns from sketches of accuracy ``WIDE_ACCURACY``, with one aggregation over the rows.
+
+    Every column keeps its own counters: values below, at and between the edges, the least and greatest between them
+    and the nearest beyond.  That decides a group with at most two values strictly between the edges, as all of up to
+    50,000 rows are.  Groups with more go on to :func:`quantiles_between`.  The counters, one row per group, are
+    checkpointed; ``sketches`` should be.
+    """
+    group = list(group)
+    edges = sketches.select(*group, *[f"_s_{n}" for n in wanted])
+    joined = join_per_group(df, edges, group, salt_by)
+    counters, results, open_columns = [], {}, []
+    for n, (c, q) in wanted.items():
+        value, low, high = F.col(c), F.get(F.col(f"_s_{n}"), 0), F.get(F.col(f"_s_{n}"), 1)
+        inside = F.when((value > low) & (value < high), value)
+        counters += [
+            F.count(value).alias(f"_n_{n}"),
+            F.count_if(value < low).alias(f"_below_{n}"),
+            F.count_if(value == low).alias(f"_low_{n}"),
+            F.count_if((value == high) & (high > low)).alias(f"_high_{n}"),
+            F.count(inside).alias(f"_in_{n}"),
+            F.min(inside).alias(f"_least_{n}"),
+            F.max(inside).alias(f"_most_{n}"),
+            F.max(F.when(value < low, value)).alias(f"_top_{n}"),
+            F.min(F.when(value > high, value)).alias(f"_bottom_{n}"),
+        ]
+        names = ("n", "below", "low", "high", "in", "least", "most", "top", "bottom")
+        of = {k: F.col(f"_{k}_{n}") for k in names}
+        first = of["below"] + of["low"]
+        last = first + of["in"]
+
+        def at(k: Column, of=of, first=first, last=last, low=low, high=high) -> Column:
+            return (
+                F.when(k < of["below"], of["top"])
+                .when(k < first, low)
+                .when(k < last, F.when(k == first, of["least"]).otherwise(of["most"]))
+                .when(k < last + of["high"], high)
+                .otherwise(of["bottom"])
+            )
+
+        rank = (of["n"] - 1) * F.lit(q)
+        below, above = at(F.floor(rank)), at(F.ceil(rank))
+        results[n] = F.when(of["n"] > 0, below + (rank - F.floor(rank)) * (above - below))
+        open_columns.append(of["in"] > 2)
+    counted = checkpointed(joined.groupBy(*group).agg(*counters)).join(edges, group)
+    undecided = reduce(lambda a, b: a | b, open_columns)
+    found = counted.select(*group, *[v.alias(n) for n, v in results.items()])
+    if counted.filter(undecided).isEmpty():
+        return found
+    left = counted.filter(undecided).select(*group)
+    salted = join_per_group(df, left, group, salt_by).drop("_salt")
+    rest = quantiles_between(salted, edges.join(left, group), group, wanted, salt_by)
+    return found.join(left, group, "left_anti").unionByName(rest)
+
+
 def quantiles_between(
     df: DataFrame,
     sketches: DataFrame,

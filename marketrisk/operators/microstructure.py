@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import div, ln, prefixed, total
 from marketrisk.functions.frames import carried, rolling_mean, rolling_frames
-from marketrisk.functions.ordered import quantiles_between, sketch_aggs
+from marketrisk.functions.lineage import checkpointed
+from marketrisk.functions.ordered import WIDE_ACCURACY, quantiles_in_place, sketch_aggs
 from marketrisk.series import Series, owned
 
 LOOK_BACKS = (30, 60, 120)
@@ -114,19 +115,27 @@ def extra_aggs(series: Series) -> list[Column]:
 
 
 def microstructure_daily(minutes: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
-    """One row per session: one aggregation, and a second pass for the exact quantiles that it has bracketed."""
+    """One row per session: one aggregation, and a second pass for the exact quantiles that it has bracketed.
+
+    The minute columns are checkpointed: their frames cost more than reading them twice.
+    """
     if "is_last_hour" not in minutes.columns:
         minutes = minutes.withColumn("is_last_hour", F.lit(None).cast("boolean"))
     rows = owned(minute_quotes(minutes, series, look_backs), series)
+    rows = checkpointed(rows.select(*series.by_session, series.order, "is_last_hour", *prefixed(rows, "iex_")))
     aggs, quantiles = daily_aggs(prefixed(rows, "iex_"))
-    daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *sketch_aggs(quantiles))
+    daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *sketch_aggs(quantiles, WIDE_ACCURACY))
     return with_quantiles(daily, rows, series, quantiles)
 
 
 def with_quantiles(daily: DataFrame, rows: DataFrame, series: Series, quantiles: dict[str, tuple[str, float]]) -> DataFrame:
-    """Replace the sketches of a session table by exact quantiles."""
+    """Replace the sketches of a session table by exact quantiles.
+
+    The session table is checkpointed: its edges meet the rows and its other columns the result, without a second pass.
+    """
+    daily = checkpointed(daily)
     narrow = rows.select(*series.by_session, series.order, *dict.fromkeys(c for c, _ in quantiles.values()))
-    exact = quantiles_between(narrow, daily, series.by_session, quantiles, salt_by=series.order)
+    exact = quantiles_in_place(narrow, daily, series.by_session, quantiles, salt_by=series.order)
     return daily.drop(*[f"_s_{n}" for n in quantiles]).join(exact, series.by_session, "left")
 
 

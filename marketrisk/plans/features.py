@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import prefixed, total
 from marketrisk.functions.lineage import checkpointed
-from marketrisk.functions.ordered import sketch_aggs
+from marketrisk.functions.ordered import WIDE_ACCURACY, sketch_aggs
 from marketrisk.heads.classifiers import FEATURES, assembled, elastic_net_logistic, random_forest
 from marketrisk.heads.stacking import fit_stack, out_of_fold
 from marketrisk.operators import events, folds, impute, intraday, liquidity, macro, metrics, path, realized, regime
@@ -45,7 +45,7 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
         *liquidity.daily_aggs(),
         *quote_aggs,
         *quotes.extra_aggs(series),
-        *sketch_aggs(quantiles),
+        *sketch_aggs(quantiles, WIDE_ACCURACY),
     )
     daily = quotes.with_quantiles(daily, rows, series, quantiles)
     bars = owned(minutes, series)

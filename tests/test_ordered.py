@@ -108,6 +108,27 @@ def test_one_session_with_most_rows(spark):
     np.testing.assert_allclose(got["b"], expected[0.011], atol=1e-12)
 
 
+def test_quantiles_in_place_of_sessions_of_every_size(spark, monkeypatch):
+    """Counters decide small sessions; those with more values between the edges go on; ties, nulls and one-row sessions too."""
+    monkeypatch.setattr(ordered, "WIDE_ACCURACY", 200)
+    df = spark.range(30_000).select(
+        F.when(F.col("id") < 25_000, 0).when(F.col("id") == 29_999, 77).otherwise(F.col("id") % 40 + 1).alias("session_date"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 10_007 / 3).alias("x"),
+        F.when(F.col("id") % 3 != 0, F.col("id") % 5).cast("double").alias("ties"),
+        F.lit(None).cast("double").alias("none"),
+        F.col("id").alias("clock"),
+    )
+    wanted = {"a": ("x", 0.75), "b": ("ties", 0.75), "c": ("none", 0.75), "d": ("x", 0.011)}
+    sketches = df.groupBy("session_date").agg(*ordered.sketch_aggs(wanted, 200))
+    got = ordered.quantiles_in_place(df, sketches, ["session_date"], wanted, "clock").toPandas()
+    got = got.set_index("session_date").sort_index()
+    pdf = df.toPandas().groupby("session_date")
+    assert len(got) == 42 and got["c"].isna().all()
+    for name, (column, level) in wanted.items():
+        if name != "c":
+            np.testing.assert_allclose(got[name], pdf[column].quantile(level), atol=1e-12)
+
+
 def test_rolling_frames_survive_nan_and_spikes(spark):
     """A NaN or an opening print far from the rest touches only the frames that hold it."""
     x = [5e7] + [1000 + (k * 37 % 11) / 7 for k in range(1, 400)]
