@@ -231,7 +231,8 @@ def grid(points: int, mode_normal: str) -> str:
     return f"""
 tau AS (SELECT i, CASE WHEN i = {points - 1} THEN 0.8::DOUBLE ELSE i * ((0.8::DOUBLE - 0.2::DOUBLE) / {points - 1}) + 0.2::DOUBLE END
         AS v FROM range(0, {points}) r(i)),
-combos AS (SELECT p0, p2, y, count(*) AS k FROM preds GROUP BY ALL),
+flat AS MATERIALIZED (SELECT p0, p2, y FROM preds ORDER BY p0, p2, y),
+combos AS (SELECT p0, p2, y, count(*) AS k FROM flat GROUP BY ALL),
 grid AS (
   SELECT tc.v AS tau_crash, tb.v AS tau_boom, sum(k * u) / sum(k) AS utility
   FROM combos, tau tc, tau tb JOIN um ON d = {STD.format(c='tc.v', b='tb.v', n=mode_normal)} AND t = y GROUP BY ALL)"""
