@@ -3,8 +3,8 @@
 A builder keeps the stack of open elements, closes what the next tag implies to be closed and opens what it implies to
 be open (rows and bodies of tables, lists' items).  What is visible goes into flows of lines: blocks start lines of their
 own and keep their spacing, list items get their bullet or number and hang below it, preformatted text keeps its lines,
-and cells of tables are padded to aligned columns.  A table with long cells is a layout table; its cells follow one
-another as blocks.  Nothing visible is left out.
+and cells of tables are padded to aligned columns.  In a row with a long line, as layout tables have, the cells follow
+one another as blocks.  Indents grow up to a limit.  Nothing visible is left out.
 
 Hidden are: the head, scripts, styles, templates, comments and embedded objects; elements with ``hidden``, a hidden
 input, a closed dialog; elements whose own style or class or id (by simple rules of the page's style elements) says
@@ -17,13 +17,15 @@ class, one id or ``[hidden]`` and it surely applies on a screen, and only elemen
 stands before it and under whatever condition, except in print.
 
 Defined cases: a null page is null, an empty page or one without visible text is the empty string; broken markup closes
-at the end of the page; repeated rows and other columns pass through; an empty table gives an empty table.
+at the end of the page, a declaration of any kind is skipped up to the next ``>``; no markup raises, and time is in
+proportion to the page; repeated rows and other columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -70,6 +72,7 @@ IMPLIED_END = (
 CLOSES_P = frozenset(t for t in BLOCKS if t not in ("option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "select"))
 SCOPE = frozenset("table td th caption".split())
 LONGEST_CELL = 80
+LONGEST_INDENT = 64
 
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"<style\b", re.I)
@@ -97,9 +100,18 @@ class Flow:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = 0
+        self.indents: list[int] = []
         self.indent = ""
         self.marker = ""
 
+    def deeper(self, width: int) -> None:
+        """Further lines stand ``width`` columns to the right, up to the limit."""
+        self.indents.append(width if len(self.indent) + width <= LONGEST_INDENT else 0)
+        self.indent += " " * self.indents[-1]
+
+    def back(self) -> None:
+        self.indent = self.indent[: len(self.indent) - self.indents.pop()]
+
     def inline(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
         if text[:1] == " " and (not self.now or self.now[-1].endswith(" ")):
@@ -130,7 +142,7 @@ class Flow:
         self.gap = 0
         lead = self.indent
         if self.marker:
-            lead = lead[: -len(self.marker)] + self.marker
+            lead = lead[: len(lead) - self.indents[-1]] + self.marker
             self.marker = ""
         self.lines.append((lead + text).rstrip(" ") if not text.strip() else lead + text)
 
@@ -190,13 +202,40 @@ def css_rules(css: str, applies: int = 2) -> Iterator[tuple[str, str, int]]:
                 break
 
 
-class Sheet(HTMLParser):
+class Lenient(HTMLParser):
+    """Declarations of any kind end at the next ``>``; marked sections of drawings and formulas are text."""
+
+    foreign = 0
+
+    def parse_html_declaration(self, i: int) -> int:
+        page = self.rawdata
+        if page.startswith("<!--", i):
+            return super().parse_html_declaration(i)
+        if self.foreign and page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            end = len(page) if end < 0 else end
+            self.handle_data(page[i + 9 : end])
+            return min(end + 3, len(page))
+        end = page.find(">", i)
+        return len(page) if end < 0 else end + 1
+
+
+def small_number(text: str, most: int) -> int | None:
+    """The number that a text of digits stands for, at most ``most``; None of other texts."""
+    if not (text.isascii() and text.isdigit()):
+        return None
+    text = text.lstrip("0") or "0"
+    return most if len(text) > 9 else min(int(text), most)
+
+
+class Sheet(Lenient):
     """The display rules of a page's style elements."""
 
     def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
         self.hides: dict[str, tuple] = {}  # weight of the strongest rule by class, id or [hidden]
-        self.shows: list[tuple[tuple, frozenset[str]]] = []  # weight, names an element must have
+        self.shows: dict[frozenset[str], tuple] = {}  # weight of the strongest rule by the names an element must have
+        self.by_name: dict[str, list[frozenset[str]]] | None = None
         self.inert: dict[str, int] = dict.fromkeys(INERT, 0)
         self.applies = 0
         self.css: list[str] | None = None
@@ -246,7 +285,18 @@ class Sheet(HTMLParser):
         if not _PSEUDO_ELEMENT.search(last):
             names = _NAME.findall(_PSEUDO_CLASS.sub("", last))
             needed = {(k + n.replace("\\", "")) if k else n.lower() for k, n in names if not _HEX_ESCAPE.search(n)}
-            self.shows.append((weight, frozenset(needed)))
+            self.shows[frozenset(needed)] = max(weight, self.shows.get(frozenset(needed), weight))
+
+    def shown_over(self, strongest: tuple, names: set[str]) -> bool:
+        """Whether a rule of more weight shows an element of these names."""
+        if self.by_name is None:
+            often = Counter(n for needed in self.shows for n in needed)
+            self.by_name = {}
+            for needed in self.shows:  # found by the rarest of its names
+                rarest = min(needed, key=lambda n: (often[n], n), default="")
+                self.by_name.setdefault(rarest, []).append(needed)
+        candidates = (needed for n in ("", *names) for needed in self.by_name.get(n, ()))
+        return any(needed <= names and self.shows[needed] > strongest for needed in candidates)
 
     def hidden(self, tag: str, a: dict[str, str]) -> bool:
         """Whether the cascade says ``display:none``, the ``hidden`` attribute and closed dialogs being its weakest rules."""
@@ -265,33 +315,39 @@ class Sheet(HTMLParser):
         strongest = max(found)
         if own and own[1] and (own[0], 1) > strongest:
             return False
-        return not any(weight > strongest and needed <= names for weight, needed in self.shows)
+        return not self.shown_over(strongest, names)
 
 
-class Page(HTMLParser):
+class Page(Lenient):
     """Events of one page; ``text`` gives the result."""
 
     def __init__(self, page: str = "") -> None:
         super().__init__(convert_charrefs=True)
         self.sheet = Sheet(page)
         self.hidden_tags = HIDDEN if _USE.search(page) else HIDDEN | REUSED
-        self.foreign = 0
         self.open: list[tuple[str, bool, bool]] = []  # tag, displayed, visible
+        self.places: dict[str, list[int]] = {}  # of the open elements, by tag
         self.flows = [Flow()]
         self.lists: list[list] = []  # [numbered, next number]
-        self.markers: list[int] = []
         self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.pre = 0
 
     # open elements
 
-    def has(self, tags: set[str], boundary: frozenset | set = frozenset()) -> bool:
-        for tag, _, _ in reversed(self.open):
-            if tag in tags:
-                return True
-            if tag in boundary:
-                return False
-        return False
+    def innermost(self, tags: Iterable[str], below: int | None = None) -> int:
+        """Place of the innermost open element of these tags (under the place ``below``); -1 without any."""
+        found = -1
+        for tag in tags:
+            places = self.places.get(tag)
+            if places and below is not None and places[-1] >= below:
+                places = places[:-1] if len(places) < 2 else places[-2:-1]
+            if places:
+                found = max(found, places[-1])
+        return found
+
+    def has(self, tags: Iterable[str], boundary: Iterable[str] = ()) -> bool:
+        place = self.innermost(tags)
+        return place >= 0 and place >= self.innermost(boundary)
 
     def close_through(self, tags: set[str]) -> None:
         while self.open:
@@ -305,7 +361,7 @@ class Page(HTMLParser):
             self.leave()
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
-        if tag == "head" and any(t != "html" for t, _, _ in self.open):
+        if tag == "head" and len(self.open) > len(self.places.get("html", ())):
             return
         if tag not in IN_HEAD:
             self.end_head()
@@ -333,12 +389,8 @@ class Page(HTMLParser):
 
     def drawn(self) -> bool:
         """Whether the innermost element belongs to a drawing or formula, not to HTML inside one."""
-        for tag, _, _ in reversed(self.open[:-1]):
-            if tag in FOREIGN:
-                return True
-            if tag in HTML_INSIDE:
-                return False
-        return False
+        top = len(self.open) - 1
+        return self.innermost(FOREIGN, top) > self.innermost(HTML_INSIDE, top)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not self.has({"p"}, SCOPE):
@@ -359,6 +411,7 @@ class Page(HTMLParser):
             displayed = False
         if found := _VISIBILITY.search(a.get("style", "")):
             visible = found[1].lower() not in ("hidden", "collapse")
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, displayed, visible))
         self.foreign += tag in FOREIGN
         if displayed:
@@ -366,6 +419,7 @@ class Page(HTMLParser):
 
     def leave(self) -> None:
         tag, displayed, _ = self.open.pop()
+        self.places[tag].pop()
         self.foreign -= tag in FOREIGN
         if displayed:
             self.end(tag)
@@ -393,33 +447,31 @@ class Page(HTMLParser):
         if tag == "pre":
             self.pre += 1
         elif tag in ("ul", "ol", "menu", "dir"):
-            start = a.get("start", "1")
-            self.lists.append([tag == "ol", int(start) if start.isascii() and start.isdigit() else 1])
+            start = small_number(a.get("start", "1"), 10**9)
+            self.lists.append([tag == "ol", 1 if start is None else start])
         elif tag == "li":
             numbered = self.lists[-1] if self.lists else [False, 1]
             marker = f"{numbered[1]}. " if numbered[0] else "- "
             numbered[1] += 1
-            flow.indent += " " * len(marker)
+            flow.deeper(len(marker))
             flow.marker = marker
-            self.markers.append(len(marker))
         elif tag in ("dd", "blockquote"):
-            flow.indent += "  "
+            flow.deeper(2)
         elif tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables:
             self.flows.append(Flow())
-            span = a.get("colspan", "1")
             self.tables[-1][-1:] = self.tables[-1][-1:] or [[]]
-            self.tables[-1][-1].append(([], min(int(span), 1000) if span.isascii() and span.isdigit() and int(span) else 1))
+            self.tables[-1][-1].append(([], small_number(a.get("colspan", "1"), 1000) or 1))
 
     def end(self, tag: str) -> None:
         if tag == "li":
             flow = self.flows[-1]
             flow.block(0)
             flow.marker = ""
-            flow.indent = flow.indent[: len(flow.indent) - self.markers.pop()]
+            flow.back()
             return
         if tag in ("td", "th") and self.tables and len(self.flows) > 1:
             lines = self.flows.pop().done()
@@ -437,7 +489,7 @@ class Page(HTMLParser):
         elif tag in ("ul", "ol", "menu", "dir") and self.lists:
             self.lists.pop()
         elif tag in ("dd", "blockquote"):
-            self.flows[-1].indent = self.flows[-1].indent[:-2]
+            self.flows[-1].back()
 
     def text(self) -> str:
         self.close()
@@ -447,20 +499,22 @@ class Page(HTMLParser):
 
 
 def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: columns padded to their widest cell; long cells one after another instead."""
+    """Lines of a table: columns padded to their widest cell; a row with a long line is written cell after cell."""
     rows = [r for r in rows if any(lines for lines, _ in r)]
-    if any(len(line) > LONGEST_CELL for r in rows for lines, _ in r for line in lines):
-        return [line for r in rows for lines, _ in r for line in lines]
+    long = [any(len(line) > LONGEST_CELL for lines, _ in r for line in lines) for r in rows]
     widths: list[int] = []
-    for row in rows:
+    for row, apart in zip(rows, long, strict=True):
         at = 0
-        for lines, span in row:
+        for lines, span in [] if apart else row:
             widths += [0] * (at + span - len(widths))
             if span == 1:
                 widths[at] = max([widths[at], *map(len, lines)])
             at += span
     out = []
-    for row in rows:
+    for row, apart in zip(rows, long, strict=True):
+        if apart:
+            out += [line for lines, _ in row for line in lines]
+            continue
         for k in range(max(len(lines) for lines, _ in row)):
             line, at = "", 0
             for lines, span in row:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from marketrisk.llm import pages as html
@@ -95,3 +98,61 @@ def test_styles_apply_wherever_they_stand():
 )
 def test_open_heads_drawings_and_formulas(page, text):
     assert visible_text(page) == text
+
+
+BROKEN = {
+    "<p>a<![foo[bar]]>b": "ab",
+    "a<![ x>b": "ab",
+    "a<!doctype html [ x>b": "ab",
+    "a<!>b<!x": "ab",
+    "<p>a<![CDATA[x]]>b": "ab",
+    "<svg><text><![CDATA[x > y]]></text></svg>b": "x > y b",
+    "<svg><text><![CDATA[x": "x",
+    f"<ol start='{'9' * 5000}'><li>x</ol>": "1000000000. x",
+    f"<table><tr><td colspan='{'0' * 5000}'>x<td>y</table>": "x  y",
+}
+
+
+@pytest.mark.parametrize("page", BROKEN, ids=range(len(BROKEN)))
+def test_broken_declarations_and_numbers(page):
+    assert visible_text(page) == BROKEN[page]
+
+
+def test_no_markup_raises():
+    draw = random.Random(3)
+    parts = ["<", ">", "</", "<!", "<!--", "-->", "<![", "]]>", "<?", "&", "&#", "&#x", ";", '"', "'", "=", "/>", " ", "\n", "x", "0", "\x00"]
+    parts += ["9" * 30, "\ud800", "<p>", "<li>", "<ul>", "<ol start=", "<table>", "<td colspan=", "<tr>", "<style>", ".a{", "display:none}", "<svg>", "<title/>", "</p>"]
+    parts += ["</td>", "<head>", "<body>", "<script>", "<template>", "<pre>", "<text>", "</svg>", "<use>", "<dd>", "<![CDATA["]
+    for _ in range(10_000):
+        page = "".join(draw.choices(parts, k=draw.randrange(30)))
+        assert isinstance(visible_text(page), str)
+
+
+DEEP = {
+    "lists": "<li>a<ul>" * 8000,
+    "blocks": "<div>" * 8000 + "x",
+    "unclosed": "<div><table><td>" + "<span>" * 4000 + "</div>" * 4000,
+    "rules": "<style>" + "".join(f".a.b{k}{{display:block}} .c{k}{{display:none}}" for k in range(4000)) + "</style>"
+    + "".join(f"<p class='a c{k}'>no" for k in range(4000)),
+    "one rule": "<style>" + ".x{display:none} .x.y{display:block}" * 4000 + "</style>" + "<p class=x>no" * 4000,
+    "drawings": "<svg>" + "<g>" * 4000 + "<path/>" * 4000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_time_is_in_proportion_to_the_page(name):
+    begin = time.process_time()
+    text = visible_text(DEEP[name])
+    assert time.process_time() - begin < 2 and len(text) < 100 * 8000 and "no" not in text
+
+
+def test_a_long_cell_leaves_other_rows_aligned():
+    rows = [("1", "a", "x"), ("22", "bb", "y"), ("3", "long " * 30 + "end", "z")]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    assert visible_text(page) == "\n".join(["1   a   x", "22  bb  y", "3", "long " * 30 + "end", "z"])
+
+
+def test_indents_stop_growing_and_keep_their_markers():
+    lines = visible_text("<ol><li>x" * 100).split("\n")
+    assert [line.strip() for line in lines] == ["1. x"] * 100
+    assert lines[0] == "1. x" and len(lines[50]) == len(lines[99]) <= html.LONGEST_INDENT + 4
