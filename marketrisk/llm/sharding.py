@@ -3,17 +3,20 @@
 Source, language, size and id are quantised to quantile codes, rows are sorted by the index of their cell on
 the Hilbert curve and the order is cut into runs of equal row counts (law ``rows``).  Neighbouring
 rows of the curve agree in all dimensions at once, so every file covers a small box of each of them and readers
-prune by any of them.  Inside a cell equal texts lie together.
+prune by any of them.  Sources and languages are ranked as whole strings, each weighing its rows.  Equal texts
+share the source, language and id of the one with the smallest id and so lie together: a shard's edge may cut
+a group, nothing else does.
 
-Defined cases: null metadata have code 0; a null or empty text has size 1 and checksum 0; repeated rows
-are separate rows; an empty table gives no shard.  Other columns pass through ``write_shards``.
+Defined cases: null metadata come first, ids that are no numbers have code 0; a null or empty text has size 1 and
+checksum 0; repeated rows are separate rows, in any order among themselves; an empty table gives no shard.  Other
+columns pass through ``write_shards``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +27,14 @@ SHARDS = 8
 BITS = 5
 
 
-def leading_number(value: Column) -> Column:
-    """The first seven bytes of a string as a number: in the order of the strings, coarser beyond them."""
-    head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def with_rank_code(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """Add ``<column>_code``: where the middle row of the value lies among all rows in the order of whole values."""
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_offsets(counts, [F.col(column).asc_nulls_first()], F.col("_n"), "_before")
+    total = counts.agg(F.sum("_n").alias("_rows"))
+    code = F.floor((F.col("_before") + F.col("_n") / 2) * 2**bits / F.col("_rows")).cast("int")
+    coded = placed.join(F.broadcast(total)).select(F.col(column).alias("_value"), code.alias(f"{column}_code"))  # one row
+    return rows.join(coded, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 @F.pandas_udf(T.LongType())
@@ -38,27 +45,30 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
 def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, the curve index, shard and slot of every row."""
     text = text_or_empty()
-    narrow = materialised(
+    rows = materialised(
         docs.select(
             "doc_id",
             F.col("source").alias("_source"),
             F.col("lang").alias("_lang"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+            F.xxhash64(text).alias("_hash"),
+            F.monotonically_increasing_id().alias("_uid"),
         )
     )
-    coded = quantile_codes(
-        narrow,
-        {
-            "_a": leading_number(F.col("_source")),
-            "_b": leading_number(F.col("_lang")),
-            "_c": F.col("size").cast("double"),
-            "_d": F.col("doc_id").cast("double"),
-        },
-        BITS,
-    )
-    keyed = coded.select("doc_id", "size", "text_crc32", _curve("_a", "_b", "_c", "_d").alias("curve"))
-    placed = running_offsets(keyed, [F.col("curve"), F.col("text_crc32"), F.col("doc_id"), F.col("size")], F.lit(1), "_before")
+    same = ["text_crc32", "_hash", "size"]
+    first = F.min(F.struct("doc_id", "_source", "_lang"))
+    groups = rows.groupBy(*same).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    met = rows.join(groups, same, "left")
+    own = {c: F.when(F.col("_first").isNull(), F.col(c)).otherwise(F.col(f"_first.{c}")) for c in ("_source", "_lang")}
+    at_id = F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id"))
+    narrow = met.withColumns({**own, "_id": at_id.try_cast("double")}).drop("_first")
+    narrow = materialised(with_rank_code(with_rank_code(materialised(narrow), "_source"), "_lang"))
+    coded = quantile_codes(narrow, {"_c": F.col("size").cast("double"), "_d": F.col("_id")}, BITS)
+    curve = _curve("_source_code", "_lang_code", "_c", "_d").alias("curve")
+    keyed = coded.select("doc_id", "size", "text_crc32", "_hash", "_uid", curve)
+    order = ["curve", "text_crc32", "_hash", "size", "doc_id", "_uid"]
+    placed = running_offsets(keyed, [F.col(c) for c in order], F.lit(1), "_before").drop("_hash", "_uid")
     total = placed.agg(F.count(F.lit(1)).alias("_rows"))
     # Integer arithmetic: rows before shard s are ceil(s * rows / shards), so counts differ by one at most.
     shard = F.expr(f"(_before * {shards}) div _rows")

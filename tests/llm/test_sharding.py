@@ -39,7 +39,7 @@ def test_rows_law(spark, odd):
 
 def test_shards_are_boxes(spark):
     docs = spark.range(4000).select(
-        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 500).cast("int")).alias("text"),
+        F.col("id").alias("doc_id"), F.concat("id", F.repeat(F.lit("x"), (F.col("id") * 37 % 500).cast("int"))).alias("text"),
         F.concat(F.lit("host"), F.col("id") % 16).alias("source"), F.lit("en").alias("lang"),
     )
     plan = sharding.assigned(docs).join(docs, "doc_id").toPandas()
@@ -48,6 +48,51 @@ def test_shards_are_boxes(spark):
     assert effective < 16 * 0.75
 
 
+def test_sources_that_begin_alike_have_codes_of_their_own(spark):
+    docs = spark.range(800).select(F.concat(F.lit("https://www.host"), F.col("id") % 8).alias("source"))
+    coded = sharding.with_rank_code(docs, "source").distinct().collect()
+    assert {r["source"][-1]: r["source_code"] for r in coded} == {str(k): 4 * k + 2 for k in range(8)}
+    odd = spark.createDataFrame([(None,), (None,), ("",), ("b",)], "source string")
+    assert {r["source"]: r["source_code"] for r in sharding.with_rank_code(odd, "source").collect()} == {None: 8, "": 20, "b": 28}
+
+
+def test_equal_texts_are_neighbours_whatever_their_ids_and_sources(spark):
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id") * 7 % 90).alias("text"),
+        F.concat(F.lit("host"), F.col("id") % 16).alias("source"), F.lit("en").alias("lang"),
+    )
+    rows = sorted(sharding.assigned(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
+    changes = sum(a["text_crc32"] != b["text_crc32"] for a, b in zip(rows, rows[1:], strict=False))
+    assert changes == 89  # every group is one run
+
+
+def test_order_follows_the_curve_of_the_codes(spark):
+    """The curve index of every row is that of its codes, found again by counting."""
+    docs = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") * 11 % 300).cast("int")).alias("text"),
+        F.concat(F.lit("https://s"), F.col("id") % 3).alias("source"), F.when(F.col("id") % 4 == 0, "de").otherwise("en").alias("lang"),
+    )
+    got = {r["doc_id"]: r for r in sharding.assigned(docs).collect()}
+    rows = docs.collect()
+    n = len(rows)
+
+    def middle(column, value):
+        before = sum(r[column] < value for r in rows)
+        return int((before + sum(r[column] == value for r in rows) / 2) * 32 // n)
+
+    edges = lambda values: sorted({sorted(values)[-(-k * n // 32) - 1] for k in range(1, 32)})
+    sizes = edges([2 * (i * 11 % 300) + 1 for i in range(n)])
+    ids = edges(range(n))
+    cells = [
+        [middle("source", r["source"]), middle("lang", r["lang"]), sum(e <= len(r["text"]) + 1 for e in sizes), sum(e <= r["doc_id"] for e in ids)]
+        for r in rows
+    ]
+    want = hilbert_index(np.array(cells), sharding.BITS)
+    assert [got[r["doc_id"]]["curve"] for r in rows] == want.tolist()
+    placed = sorted(got.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in placed] == sorted(want)
+
+
 def test_written_files_and_empty_table(spark, nothing, tmp_path):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), F.lit("l").alias("lang"))
     sharding.write_shards(docs, str(tmp_path / "out"))
