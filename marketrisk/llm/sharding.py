@@ -25,6 +25,7 @@ from marketrisk.llm.shared import materialised, text_or_empty
 
 SHARDS = 8
 BITS = 5
+SALTS = 16
 
 
 def with_rank_code(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
@@ -59,7 +60,10 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     same = ["text_crc32", "_hash", "size"]
     first = F.min(F.struct("doc_id", "_source", "_lang"))
     groups = rows.groupBy(*same).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    met = rows.join(groups, same, "left")
+    # A text's copies may be a third of all rows: they are spread over salts, and the group's row repeated.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.lit(SALTS)).cast("int"))
+    met = salted.join(groups.withColumn("_salt", salts), [*same, "_salt"], "left").drop("_salt")
     own = {c: F.when(F.col("_first").isNull(), F.col(c)).otherwise(F.col(f"_first.{c}")) for c in ("_source", "_lang")}
     at_id = F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id"))
     narrow = met.withColumns({**own, "_id": at_id.try_cast("double")}).drop("_first")
