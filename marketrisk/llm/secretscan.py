@@ -2,13 +2,20 @@
 
 Three fixed kinds (assigned passwords, access key ids, long hex strings) are found first.  The method adds
 kind ``random``: maximal runs of key characters whose encoding is inferred (hex or letters and digits of one case, with
-``-`` and ``_`` as separators that do not count; letters and digits of both cases; base64) are tested against the hypothesis that they are uniformly random in that encoding: chi-squared of the symbol
+``-`` and ``_`` as separators that do not count; letters and digits of both cases; base64) are tested against the hypothesis
+that they are uniformly random in that encoding: chi-squared of the symbol
 counts, the Wald-Wolfowitz runs test about the alphabet's middle, and the lag-one serial correlation.  The
 smallest of the three p-values, tripled, is the run's.  A Benjamini-Hochberg step over all runs
 of the corpus, with weights growing with length as longer strings give the tests more power, rejects
-those that are not random; what stands is reported.  No weight dismisses a run whose own p is above the level, so a
+those that are not random.  No weight dismisses a run whose own p is above the level, so a
 random string of any length is dismissed with at most that probability.
 
+What stands must also be unlike an ordinary identifier, so that few reports are false.  Under that null hypothesis
+letters follow the frequencies of prose, and letters and digits come in stretches (``IDENTIFIER``); the likelihood of
+the uniform encoding over that of the identifier has mean one under it and is thus evidence whose reciprocal bounds a
+p-value, and it grows by a factor with every symbol.  The Benjamini-Hochberg rule over this evidence, valid for dependent
+runs too, keeps the expected share of identifiers among the reports below ``FALSE_DISCOVERY``.
+
 Positions are code points.  Everything is built-in column functions: matches come from regexp_extract_all, what
 lies between them from split, and running lengths of both give the positions.
 
@@ -18,6 +25,8 @@ through, each row being judged by its own text; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,37 +42,81 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 8
 #: Symbols a candidate must have besides separators.
 LEAST_SYMBOLS = 16
-#: Share of truly random strings among the dismissed ones.
+#: Share of truly random strings among the dismissed ones, and of ordinary identifiers among the reported ones.
 FALSE_DISCOVERY = 0.05
+#: Letters of English prose in percent, a to z (fixed values).
+LETTERS = (
+    8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4,
+    0.15, 2.0, 0.074,
+)
+#: How an identifier goes on after a small letter (l), a capital (u) or a digit (d), and how it begins (^).  In one of a
+#: single case all letters are l.
+IDENTIFIER = {
+    "l": {"l": 0.86, "u": 0.09, "d": 0.05},
+    "u": {"l": 0.60, "u": 0.36, "d": 0.04},
+    "d": {"l": 0.25, "u": 0.15, "d": 0.60},
+    "^": {"l": 0.60, "u": 0.35, "d": 0.05},
+}
+ONE_CASE = {"l": {"l": 0.95, "d": 0.05}, "d": {"l": 0.35, "d": 0.65}, "^": {"l": 0.95, "d": 0.05}}
+#: Matches and spans handled together, so that lists grow in proportion to their number.
+BLOCK = 256
+#: Code points of a text cut out together.
+PIECE = 1024
 #: Steps of log10 p in which the step-up rule is evaluated, and its floor.
 STEPS_PER_DECADE, DECADES = 100, 30
 
 
+def held(value: Column, result) -> Column:
+    """``result`` of a value that is computed once, however often ``result`` mentions it inside lambdas."""
+    return F.get(F.transform(F.array(value), result), 0)
+
+
+def blocks_of(array: Column) -> Column:
+    """An array in pieces of ``BLOCK`` elements."""
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(array), F.lit(1)) - 1) / BLOCK).cast("int"))
+    return F.transform(numbers, lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def spans_of(text: Column, pattern: str, keep=None) -> Column:
-    """Array of (start, end) of the non-overlapping matches of ``pattern``; ``keep`` tests a match's string.
+    """Array of (start, end, match) of the non-overlapping matches of ``pattern``; ``keep`` tests a match's string.
 
-    Both arrays of strings are evaluated once per row, as arguments of one higher-order function.
+    Positions are added up within blocks of matches and then over the blocks.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    span_type = "array<struct<start:int,end:int,match:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["match"])
-        span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"))
+        span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("match"))
         good = pair["match"].isNotNull() if keep is None else pair["match"].isNotNull() & keep(pair["match"])
         return F.struct(
             F.coalesce(end, begin).cast("int").alias("at"),
             F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
         )
 
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["match"].alias("match")),
+        )
+
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span_type}>").alias("out"))
+
+    def added(acc: Column, block: Column) -> Column:
+        return F.struct(
+            (acc["at"] + block["at"]).alias("at"), F.array_append(acc["out"], moved(block["out"], acc["at"])).alias("out")
+        )
+
     paired = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(paired, start, step, lambda acc: acc["out"])
+    within = held(paired, lambda p: F.transform(blocks_of(p), lambda block: F.aggregate(block, start, step)))
+    return F.aggregate(within, whole, added, lambda acc: F.flatten(acc["out"]))
 
 
 def _gated(text: Column, gate: str, spans: Column) -> Column:
-    return F.when(text.rlike(gate), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(gate), spans).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -123,10 +176,41 @@ def _moments(codes: Column, size: Column) -> Column:
     return F.aggregate(codes, zero, step)
 
 
+def evidence(body: Column, size: Column) -> Column:
+    """log10 of the likelihood of uniform symbols over that of an ordinary identifier, from letters and digits alone."""
+    plain = F.regexp_replace(body, "[^0-9A-Za-z]", "")
+    small = F.lower(plain)
+    digits, small_letters, large = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def times(text: Column, symbol: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(symbol), F.lit("")))
+
+    def transitions(kinds: Column, model: dict[str, dict[str, float]]) -> Column:
+        total = F.lit(0.0)
+        for before, after in model.items():
+            for kind, share in after.items():
+                seen = F.regexp_count(kinds, F.lit(f"^{kind}" if before == "^" else f"{before}(?={kind})"))
+                total = total + seen * math.log10(share)
+        return total
+
+    letters = F.lit(0.0)
+    for letter, percent in zip(small_letters, LETTERS, strict=True):
+        letters = letters + times(small, letter) * math.log10(percent / sum(LETTERS))
+    kinds = F.translate(plain, small_letters + large + digits, "l" * 26 + "u" * 26 + "d" * 10)
+    mixed = F.contains(kinds, F.lit("l")) & F.contains(kinds, F.lit("u"))
+    stretches = F.when(mixed, transitions(kinds, IDENTIFIER)).otherwise(
+        transitions(F.replace(kinds, F.lit("u"), F.lit("l")), ONE_CASE)
+    )
+    identifier = stretches + letters - times(kinds, "d")
+    uniform = -F.length(plain) * F.log10(F.least(size, F.lit(62.0)))
+    return uniform - identifier
+
+
 def with_p_value(candidates: Column) -> Column:
-    """Add ``p`` to an array of (start, end, body): "uniformly random in its encoding".
+    """Add ``n``, ``p`` and ``evidence`` to an array of (start, end, body).
 
-    The smallest p-value of the three tests, tripled.  Candidates without an encoding are left out.
+    ``p`` is that of "uniformly random in its encoding": the smallest p-value of the three tests, tripled; for
+    ``evidence`` see there.  Candidates without an encoding are left out.
     """
     encoded = F.filter(
         F.transform(
@@ -154,6 +238,7 @@ def with_p_value(candidates: Column) -> Column:
             size.alias("size"),
             F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c.cast("double") * c).alias("squares"),
             _moments(codes, size).alias("m"),
+            evidence(x["body"], size).alias("evidence"),
         )
 
     def tested(x: Column) -> Column:
@@ -171,7 +256,9 @@ def with_p_value(candidates: Column) -> Column:
         neighbours = m["products"] - average * (2 * m["sum"] - m["first"] - m["last"]) + (n - 1) * average * average
         p_serial = F.when(around > 0, _normal_tail((neighbours / around + 1 / n) * F.sqrt(n))).otherwise(0.0)
         p = F.least(F.lit(1.0), 3 * F.least(p_uniform, p_runs, p_serial))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), p.alias("p"))
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), p.alias("p"), x["evidence"].alias("evidence")
+        )
 
     return F.transform(F.transform(encoded, measured), tested)
 
@@ -191,21 +278,27 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     base = F.concat(f"{m}_assign", f"{m}_access", f"{m}_hex")
-    apart = F.filter(
-        f"{m}_runs", lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    apart = held(
+        base,
+        lambda known: F.filter(
+            f"{m}_runs", lambda r: ~F.exists(known, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        ),
     )
     bodies = F.transform(
         apart,
         lambda r: F.struct(
             r["start"].alias("start"),
             r["end"].alias("end"),
-            F.rtrim(F.substring(t, r["start"] + 1, r["end"] - r["start"]), F.lit("=")).alias("body"),
+            F.rtrim(r["match"], F.lit("=")).alias("body"),
         ),
     )
     tested = found.withColumn(f"{m}_bodies", bodies).withColumn(f"{m}_tested", with_p_value(F.col(f"{m}_bodies")))
     return tested.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(*[F.col(f"{m}_{k}").alias(k) for k in (*KINDS[:3], "tested")]).alias(m),
+        F.struct(
+            *[F.transform(f"{m}_{k}", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias(k) for k in KINDS[:3]],
+            F.col(f"{m}_tested").alias("tested"),
+        ).alias(m),
     )
 
 
@@ -220,22 +313,30 @@ def _step(x: Column, mean_length: Column, level: float) -> Column:
     )
 
 
-def dismissal(scored: DataFrame, m: str, level: float = FALSE_DISCOVERY) -> DataFrame:
-    """One row: mean length of the candidates and the step from which on they are dismissed as not random.
+def _evidence_step(x: Column) -> Column:
+    """Steps of the evidence from 0 (none) to the cap; the smaller end of a step counts."""
+    return F.least(F.greatest(F.floor(x["evidence"] * STEPS_PER_DECADE), F.lit(0)), F.lit(DECADES * STEPS_PER_DECADE))
+
 
-    The step-up rule is evaluated on at most ``DECADES * STEPS_PER_DECADE`` counts, each with the larger end of its step.
+def cuts(scored: DataFrame, m: str, level: float = FALSE_DISCOVERY) -> DataFrame:
+    """One row: mean length of the candidates, the step from which on they are dismissed as not random, and the step of
+    evidence from which on they are reported (both null: none).
+
+    The step-up rules are evaluated on at most ``DECADES * STEPS_PER_DECADE`` counts, each with the cautious end of its step.
     """
     candidates = scored.select(F.explode(F.col(m)["tested"]).alias("x"))
     mean = candidates.agg(F.avg("x.n").alias("mean_length"))
-    steps = candidates.join(F.broadcast(mean)).select(_step(F.col("x"), F.col("mean_length"), level).alias("step"))
-    counts = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("step").desc())  # a bounded number of steps, however many candidates
+    joined = candidates.join(F.broadcast(mean))  # one row
+    step, proof = _step(F.col("x"), F.col("mean_length"), level), _evidence_step(F.col("x"))
+    both = joined.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("step")) for k, v in enumerate((step, proof))])).alias("s"))
+    counts = both.groupBy("s.rule", "s.step").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("rule").orderBy(F.col("step").desc())  # a bounded number of steps, however many candidates
     ranked = counts.select(
-        "step", F.sum("n").over(down).alias("rank"), F.sum("n").over(Window.partitionBy()).alias("all")
+        "rule", "step", F.sum("n").over(down).alias("rank"), F.sum("n").over(Window.partitionBy("rule")).alias("all")
     )
     passing = F.pow(F.lit(10.0), -F.col("step") / STEPS_PER_DECADE) <= level * F.col("rank") / F.col("all")
-    cut = ranked.agg(F.min(F.when(passing, F.col("step"))).alias("cut"))
-    return mean.join(F.broadcast(cut))
+    lowest = lambda rule: F.min(F.when(passing & (F.col("rule") == rule), F.col("step")))
+    return mean.join(F.broadcast(ranked.agg(lowest(0).alias("cut"), lowest(1).alias("proof"))))
 
 
 def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -> tuple[DataFrame, str]:
@@ -246,11 +347,13 @@ def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -
     """
     scored = scanned(docs, text)
     m = scored.columns[-1]
-    cut = materialised(dismissal(scored, m, level).select(*[F.col(c).alias(f"{m}_{c}") for c in ("mean_length", "cut")]))
+    names = ("mean_length", "cut", "proof")
+    cut = materialised(cuts(scored, m, level).select(*[F.col(c).alias(f"{m}_{c}") for c in names]))
     joined = scored.join(F.broadcast(cut))  # one row
     kept = F.filter(
         F.col(m)["tested"],
-        lambda x: F.coalesce(_step(x, F.col(f"{m}_mean_length"), level) < F.col(f"{m}_cut"), F.lit(True)),
+        lambda x: F.coalesce(_step(x, F.col(f"{m}_mean_length"), level) < F.col(f"{m}_cut"), F.lit(True))
+        & F.coalesce(_evidence_step(x) >= F.col(f"{m}_proof"), F.lit(False)),
     )
     parts = [F.col(m)[k] for k in KINDS[:3]] + [kept]
 
@@ -260,7 +363,7 @@ def found(docs: DataFrame, text: str = "text", level: float = FALSE_DISCOVERY) -
         )
 
     spans = F.concat(*[of_kind(part, kind) for kind, part in enumerate(parts)])
-    return joined.withColumn(m, F.sort_array(spans)).drop(f"{m}_mean_length", f"{m}_cut"), m
+    return joined.withColumn(m, F.sort_array(spans)).drop(*[f"{m}_{c}" for c in names]), m
 
 
 def written(spans: Column) -> Column:
@@ -283,17 +386,41 @@ def redacted(docs: DataFrame, text: str = "text", chars: str | None = "n_chars",
     table, m = found(docs, text, level)
     t, spans = F.col(f"`{text}`"), F.col(m)
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        some = F.slice(cut, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), (start - first * PIECE).cast("int") + 1, end - start)
+
+    def rebuilt_from(cut: Column) -> Column:
+        """Per block of spans: what is written, starting at the greatest end before; then the blocks and the rest."""
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def block_step(acc: Column, block: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+
+            def step(inner: Column, s: Column) -> Column:
+                fresh = s["start"] >= inner["at"]
+                piece = F.concat(between(cut, inner["at"], s["start"]), F.get(names, s["kind"]))
+                return F.struct(
+                    F.greatest(inner["at"], s["end"]).alias("at"),
+                    F.when(fresh, F.concat(inner["out"], piece)).otherwise(inner["out"]).alias("out"),
+                )
+
+            return F.transform(
+                F.array(F.aggregate(block, start, step)),
+                lambda done: F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")),
+            )[0]
+
+        return F.aggregate(
+            held(spans, blocks_of),
+            nothing,
+            block_step,
+            lambda acc: F.concat(F.array_join(acc["out"], ""), between(cut, acc["at"], F.length(t))),
         )
 
-    rebuilt = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    rebuilt = held(pieces, rebuilt_from)
     hit = F.size(spans) > 0
     changed = table.withColumn(text, F.when(hit, rebuilt).otherwise(t))
     if chars in docs.columns:
