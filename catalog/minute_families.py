@@ -94,6 +94,12 @@ def path_intraday(spark, sf):
     return rounded(pth.intraday_path(minutes, series, last=(5, 10, 30)))
 
 
+def path_intraday_hours(spark, sf):
+    """The same over the last half hour, hour and two hours."""
+    minutes, series = returns(spark, sf, look_back=2)
+    return rounded(pth.intraday_path(minutes, series, last=(30, 60, 120)))
+
+
 def path_daily(spark, sf):
     df = daily(spark, sf)
     out = pth.with_momentum(pth.with_cumulative(pth.with_ranges(pth.with_gaps(df, ONE), ONE), ONE), ONE)
@@ -156,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vol_transforms, vol_jump_flag_full_history, vol_decayed, vol_rolling, vol_regimes, quotes_minute, quotes_daily,
-        quotes_filled, quotes_bounds, path_intraday, path_daily, path_infinite_audit, liquidity_minute,
+        quotes_filled, quotes_bounds, path_intraday, path_intraday_hours, path_daily, path_infinite_audit, liquidity_minute,
         liquidity_daily, volume_profile, liquidity_rolling, liquidity_relative, liquidity_percentile_full_history,
         amihud_kyle,
     )
@@ -339,6 +345,19 @@ b AS (
         " (max(c) - min(c)) / max(c) AS path_intraday_drawdown FROM s GROUP BY session_date)",
         "session_date, path_direction_changes",
     ),
+    "path_intraday_hours": S.ctes(
+        S.RETURNS,
+        "s AS (SELECT *, sign(r) <> lag(sign(r)) OVER (PARTITION BY session_date ORDER BY m) AS flip FROM returns)",
+    )
+    + S.final(
+        f"(SELECT session_date, {last_n(30)}, {last_n(60)}, {last_n(120)},"
+        " (arg_max(m, (h, -m)) - 1) / count(*) AS path_high_time_pct,"
+        " (arg_min(m, (l, m)) - 1) / count(*) AS path_low_time_pct,"
+        " coalesce(sum(r), 0) / (coalesce(sum(abs(r)), 0) + 1e-8) AS path_path_efficiency,"
+        " CAST(count(*) FILTER (flip) AS BIGINT) AS path_direction_changes,"
+        " (max(c) - min(c)) / max(c) AS path_intraday_drawdown FROM s GROUP BY session_date)",
+        "session_date, path_direction_changes",
+    ),
     "path_daily": S.ctes(
         S.DAILY,
         """

@@ -111,6 +111,13 @@ def hour_returns(spark, sf):
     return rounded(late.join(intra.hour_after_open_return(rows, ONE, rows=20), "session_date"))
 
 
+def hour_returns_60(spark, sf):
+    """The same with the 60 minutes of a real hour; null in sessions that have no more rows."""
+    rows = tb.sessions_of_ticks(spark, sf)
+    late = intra.last_hour_return(rows, ONE, rows=60)
+    return rounded(late.join(intra.hour_after_open_return(rows, ONE, rows=60), "session_date"))
+
+
 def session_features(spark, sf):
     df = cal.with_session_features(cal.with_session_clock(tb.sessions(spark, sf)))
     cols = ["event_id", "session_date", "session_minutes", "minute_of_session", "hour_of_session", "is_first_hour"]
@@ -156,7 +163,7 @@ QUERIES = {
     for f in (
         daily_rv, daily_rv_by_symbol, daily_ohlc, range_estimators, realized_moments, sample_moments, yang_zhang,
         ewma_rv, volume_measures, minute_returns, return_stats, cumulative_return, return_checks, return_summary,
-        hour_returns, session_features, last_minutes, session_bounds, session_flags, days_to_event, last_n_sessions,
+        hour_returns, hour_returns_60, session_features, last_minutes, session_bounds, session_flags, days_to_event, last_n_sessions,
     )
 }
 
@@ -282,6 +289,13 @@ v AS (
         " CASE WHEN count(*) > 20 THEN max(c) FILTER (m = 21) / max(c) FILTER (m = 1) - 1 END AS hour_after_open_return"
         " FROM ticks GROUP BY session_date)"
     ),
+    "hour_returns_60": S.ctes(S.TICKS)
+    + S.final(
+        "(SELECT session_date, CASE WHEN count(*) > 60 THEN ln(max(c) FILTER (m = session_rows)"
+        " / max(c) FILTER (m = session_rows - 59)) END AS last_hour_return,"
+        " CASE WHEN count(*) > 60 THEN max(c) FILTER (m = 61) / max(c) FILTER (m = 1) - 1 END AS hour_after_open_return"
+        " FROM ticks GROUP BY session_date)"
+    ),
     "session_features": S.ctes(SESSIONS)
     + S.final(
         "(SELECT event_id, session_date, session_minutes, minute_of_session,"
