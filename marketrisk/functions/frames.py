@@ -151,8 +151,3 @@ def average_rank(x, group: WindowSpec) -> Column:
 def carried(x, window: WindowSpec) -> Column:
     """Last known value up to the current row."""
     return F.last(col(x), ignorenulls=True).over(so_far(window))
-
-
-def carried_back(x, window: WindowSpec) -> Column:
-    """Next known value from the current row on (looks ahead)."""
-    return F.first(col(x), ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))

@@ -7,7 +7,8 @@ would sort it in one task.  The helpers here cut such a group along its clock:
   small clock buckets; the (tiny) table of bucket counts supplies the offsets.
 * :func:`blocked` cuts a positioned group into blocks of equal size and copies the
   few rows before each block into it, so that bounded look-back frames stay exact.
-* :func:`running_totals` is the same two-level idea for running sums.
+* :func:`running_totals` is the same two-level idea for running sums, :func:`carried_by_bucket`
+  for last known values.
 * :func:`exact_quantiles` finds exact order statistics with two aggregations:
   a sketch brackets the wanted ranks, then only the bracketed values are ordered.
 """
@@ -19,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketrisk.functions.lineage import checkpointed
 from marketrisk.series import HALO, Series
@@ -125,6 +127,52 @@ def running_totals(
     )
 
 
+def same_keys(columns: Sequence[str], other: str) -> Column:
+    """Equality of columns with their namesakes of the other side, which carry the prefix ``other``; nulls are equal."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(other + c)) for c in columns])
+
+
+def carried_by_bucket(
+    df: DataFrame, group: Sequence[str], at: str, bucket: Column, values: dict[str, str], backward: bool = False
+) -> DataFrame:
+    """Add the last known value up to each row (``values`` maps new name to column), or the next from it on.
+
+    ``at`` orders a group's rows and ``bucket`` must not decrease along it.  Only one bucket's rows share a task: the last
+    known value of each bucket, one row per bucket, is carried over the buckets and fills what a bucket's start lacks.
+    Rows with a null ``at`` come first.  Null keys are one group.
+    """
+    group = list(group)
+    along = F.col("_bucket").desc_nulls_last() if backward else F.col("_bucket").asc_nulls_first()
+    clock = F.col(at).desc_nulls_last() if backward else F.col(at).asc_nulls_first()
+    latest = F.min_by if backward else F.max_by
+    keyed = df.withColumn("_bucket", bucket)
+    # a null time comes before all others
+    known = {n: F.when(F.col(c).isNotNull(), F.struct(F.col(at).isNotNull().alias("dated"), F.col(at).alias("at"))) for n, c in values.items()}
+    ends = keyed.groupBy(*group, "_bucket").agg(*[latest(c, known[n]).alias(f"_e_{n}") for n, c in values.items()])
+    before = Window.partitionBy(*group).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*group, "_bucket"]],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values],
+    )
+    inside = Window.partitionBy(*group, "_bucket").orderBy(clock).rowsBetween(Window.unboundedPreceding, 0)
+    own = keyed.withColumns({f"_i_{n}": F.last(c, ignorenulls=True).over(inside) for n, c in values.items()})
+    return (
+        own.join(carried, same_keys([*group, "_bucket"], "_k_"))
+        .withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
+        .drop("_bucket", *[f"_k_{c}" for c in [*group, "_bucket"]], *[f"{p}_{n}" for n in values for p in ("_i", "_c")])
+    )
+
+
+def clock_of(df: DataFrame, at: str, column: Column | None = None) -> Column:
+    """Buckets of a time column: years of dates, minutes of timestamps, 65,536 steps of a number."""
+    kind, column = df.schema[at].dataType, F.col(at) if column is None else column
+    if isinstance(kind, T.DateType):
+        return F.year(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("minute", column)
+    return F.floor(column / F.lit(BLOCK_ROWS))
+
+
 def join_per_group(
     rows: DataFrame, table: DataFrame, group: Sequence[str], salt_by: str, salts: int = SALTS
 ) -> DataFrame:

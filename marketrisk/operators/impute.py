@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketrisk.functions.columns import of_type
-from marketrisk.functions.frames import carried, carried_back
-from marketrisk.functions.ordered import exact_quantiles
+from marketrisk.functions.ordered import carried_by_bucket, clock_of, exact_quantiles
 from marketrisk.series import Series
 
 
@@ -55,10 +54,16 @@ def typed_fill(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None =
 
 
 def fill_gaps(df: DataFrame, columns: Sequence[str], series: Series, backward: bool = False) -> DataFrame:
-    """Carry values forward; ``backward=True`` also fills the start from the future (looks ahead)."""
-    days = series.days()
-    rule = (lambda c: F.coalesce(carried(c, days), carried_back(c, days))) if backward else (lambda c: carried(c, days))
-    return df.withColumns({c: rule(c) for c in columns})
+    """Carry values forward; ``backward=True`` also fills the start from the future (looks ahead).
+
+    Rows are carried within buckets of the session clock and over them, so no task takes a whole instrument.
+    """
+    keys, at = list(series.keys), series.session
+    out = carried_by_bucket(df, keys, at, clock_of(df, at), {f"_f_{c}": c for c in columns})
+    if backward:
+        out = carried_by_bucket(out, keys, at, clock_of(out, at), {f"_b_{c}": c for c in columns}, backward=True)
+    made = {c: F.coalesce(f"_f_{c}", f"_b_{c}") if backward else F.col(f"_f_{c}") for c in columns}
+    return out.withColumns(made).select(*df.columns)
 
 
 def fold_statistics(train: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketrisk.functions.ordered import SALTS, carried_by_bucket, clock_of, same_keys
+
 
 def left_without_overlap(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join that drops right columns the left side already has."""
@@ -36,25 +38,32 @@ def as_of_left(
 ) -> DataFrame:
     """For each left row the last right values with right_time <= left_time.
 
-    Of several right rows with one time, the largest ``tie_break`` counts.  Union of both sides
-    and one ordered window; meant for daily (or sparser) tables, whose partitions grow with
-    history length only.
+    Of several right rows with one time, the largest ``tie_break`` counts.  The right side is first reduced to its last
+    row per key and time.  What is known is then found once for every distinct key and time, in buckets of time (see
+    :func:`marketrisk.functions.ordered.carried_by_bucket`), and joined back to the left rows over salts, so that neither
+    one key nor one time need fit a task.  A null left time finds nothing, a null right time is never known; null keys
+    are one group.  A last right row whose value is null gives null.
     """
     keys = list(keys)
-    as_events = right.select(
-        *keys,
-        F.col(right_time).alias("_at"),
-        F.lit(0).alias("_side"),
-        F.col(tie_break or right_time).alias("_tie"),
-        F.struct(*values).alias("_known"),
+    spot = [*keys, "_at"]
+    events = (
+        right.filter(F.col(right_time).isNotNull())
+        .select(*keys, F.col(right_time).alias("_at"), F.col(tie_break or right_time).alias("_tie"), F.struct(*values).alias("_row"))
+        .groupBy(*spot)
+        .agg(F.max_by("_row", F.struct(F.col("_tie").isNotNull().alias("known"), "_tie")).alias("_event"))
+    )
+    asked = left.filter(F.col(left_time).isNotNull()).select(*keys, F.col(left_time).alias("_at")).distinct()
+    both = events.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    spots = both.groupBy(*spot).agg(F.max("_event").alias("_event"), F.max("_asked").alias("_asked"))
+    found = carried_by_bucket(spots, keys, "_at", clock_of(spots, "_at"), {"_last": "_event"}).filter("_asked")
+    told = found.select(*[F.col(c).alias(f"_k_{c}") for c in spot], "_last").withColumn(
+        "_k__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    rows = left.withColumn("_row", F.struct(*left.columns)).select(
-        *keys, F.col(left_time).alias("_at"), F.lit(1).alias("_side"), "_row"
+    salted = left.withColumn("_at", F.col(left_time)).withColumn(
+        "_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
     )
-    both = as_events.unionByName(rows, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_known", ignorenulls=True).over(upto)).filter(F.col("_side") == 1)
-    return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+    joined = salted.join(told, same_keys([*spot, "_salt"], "_k_"), "left")
+    return joined.select(*[F.col(c) for c in left.columns], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def released(df: DataFrame, column: str, business_days: int = 3) -> Column:
