@@ -12,6 +12,7 @@ MODULES = [
     "heads",
     "boosting",
     "full_job",
+    "joined_families",
 ]
 
 
