@@ -78,9 +78,11 @@ FROM d LEFT JOIN sizes USING (rid) JOIN least_id USING (rid)
 
 MIX = rf"""
 WITH sized AS (
-  SELECT row_number() OVER () AS rid, doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size
-  FROM documents
+  SELECT doc_id, source, key, size, count(*) OVER alike AS n, row_number() OVER alike - 1 AS place
+  FROM (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS key,
+               len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size
+        FROM documents)
+  WINDOW alike AS (PARTITION BY key, source, size)
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY 1
 ), weighed AS (
@@ -103,17 +105,20 @@ WITH sized AS (
   SELECT source, s, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part FROM planned
 ), tossed AS (
   SELECT plan.source, k,
-         sum(CASE WHEN ('0x' || substr(md5(k || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < part
-                  THEN size ELSE 0 END) AS extra
-  FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source, range(64) AS u(k)
+         sum(size * (floor(n * part)::BIGINT
+                     + CASE WHEN ('0x' || substr(md5(k || ':' || key), 1, 8))::BIGINT / 4294967296.0 < n * part - floor(n * part)
+                            THEN 1 ELSE 0 END)) AS extra
+  FROM (SELECT DISTINCT key, source, size, n FROM sized) AS sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source, range(64) AS u(k)
   GROUP BY 1, 2
 ), chosen AS (
   SELECT t.source, arg_min(k, (abs(extra - (target - whole * s)), k)) AS seed
   FROM tossed t JOIN plan ON t.source IS NOT DISTINCT FROM plan.source GROUP BY 1
 )
 SELECT doc_id, size, s AS source_size, target,
-       size * (whole + CASE WHEN ('0x' || substr(md5(seed || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT
-                                 / 4294967296.0 < part THEN 1 ELSE 0 END) AS taken
+       size * (whole + CASE WHEN place < floor(n * part)::BIGINT
+                                 + CASE WHEN ('0x' || substr(md5(seed || ':' || key), 1, 8))::BIGINT / 4294967296.0
+                                             < n * part - floor(n * part) THEN 1 ELSE 0 END
+                            THEN 1 ELSE 0 END) AS taken
 FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source
            JOIN chosen ON sized.source IS NOT DISTINCT FROM chosen.source
 """

@@ -50,3 +50,23 @@ def test_odd_rows_rerun_alike(odd):
 def test_empty_and_wordless(spark, nothing):
     assert mixing.mixed(nothing).count() == 0
     assert mixing.mixed(make(spark, [None, "", " "])).count() == 0
+
+
+def test_rows_alike_share_the_fraction(spark):
+    """Sources of nothing but copies without ids, and of one id with many texts, come near their targets too."""
+    texts = ["same words here again"] * 1000 + [f"w {k} x" for k in range(1000)] + ["a b c"] * 997 + [None] * 40
+    names = ["one"] * 1000 + ["two"] * 1000 + [None] * 997 + ["one"] * 40
+    docs = make(spark, texts, source=names).withColumn("doc_id", F.when(F.col("source") == "two", F.lit(7)))
+    table, m = mixing.planned(docs.repartition(9))
+    rows = table.select("source", F.col(m)["size"], F.col(m)["target"], F.col(m)["copies"]).collect()
+    assert len(rows) == len(texts)
+    taken, target = defaultdict(int), {}
+    for source, size, aim, copies in rows:
+        taken[source] += size * copies
+        target[source] = aim
+        assert 0 <= copies <= 2
+    assert all(abs(taken[s] - target[s]) <= (4 if s != "two" else 0.01 * target[s]) for s in target)
+    again, n = mixing.planned(docs.repartition(3))
+    assert sorted(map(str, rows)) == sorted(
+        map(str, again.select("source", F.col(n)["size"].alias(f"{m}.size"), F.col(n)["target"].alias(f"{m}.target"), F.col(n)["copies"].alias(f"{m}.copies")).collect())
+    )
