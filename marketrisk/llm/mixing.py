@@ -123,8 +123,8 @@ def numbered(rows: DataFrame, m: str) -> DataFrame:
 def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text"):
     """(table, name of its plan column): every row of ``docs`` with a struct of size, source_size, target, copies.
 
-    Rows alike in id, source and text are numbered apart from the others; where there are none, their table is empty
-    and adaptive execution drops that branch.  Joins are left to adaptive execution, which splits a hot source.
+    Rows alike in id, source and text are numbered apart from the others.  Joins are left to the size limits of Spark's
+    own planning and to adaptive execution, which splits a hot source.
     """
     m = free_name(docs, "_mix")
     words = text_or_empty(f"`{text}`")
@@ -135,7 +135,8 @@ def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     alike = materialised(sized.groupBy(*[F.col(m)[c].alias(c) for c in ALIKE]).agg(F.count(F.lit(1)).alias("n")))
     plan = materialised(rates(alike))
     plan = plan.select(*[F.col(c).alias(f"{m}_{c}") for c in plan.columns])
-    repeated = alike.filter("n > 1").select(*[F.col(c).alias(f"{m}_r_{c}") for c in alike.columns])
+    # written, so that its size is known before the texts are: a small one is broadcast and no text is shuffled
+    repeated = materialised(alike.filter("n > 1").select(*[F.col(c).alias(f"{m}_r_{c}") for c in alike.columns]))
     same = F.lit(True)
     for c in ALIKE:
         same &= F.col(m)[c].eqNullSafe(F.col(f"{m}_r_{c}"))
