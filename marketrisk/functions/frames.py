@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketrisk.functions.columns import EPS, col, div
+from marketrisk.functions.columns import EPS, col, div, root
 from marketrisk.series import Series
 
+#: Runs of rows that are put together to one in a step of :func:`rolling_frames`.
+RADIX = 4
+
 
 def last(window: WindowSpec, n: int) -> WindowSpec:
     """The current row and the n-1 rows before it."""
@@ -94,15 +97,71 @@ def rescaled_range(x, window, n, least) -> Column:
 
 
 def rolling_frames(df: DataFrame, window: WindowSpec, wanted: dict[str, tuple[str, str, int, int]]) -> DataFrame:
-    """Rolling means, sums and sample deviations for minute tables.
+    """Rolling means, sums and sample deviations for minute tables, in log n steps a row instead of n.
 
-    ``wanted`` maps a new name to (kind, column, rows, least), kind being mean, sum or std.  Each frame is
-    computed from its own rows: no value outside it, however large or undefined, touches the result.
+    ``wanted`` maps a new name to (kind, column, rows, least), kind being mean, sum or std.  Runs of 1, 4, 16, ... rows
+    are put together from four runs a quarter as long, and a frame from the runs its length is made of.  Nothing is
+    ever taken away: no value outside a frame, however large or undefined, touches its result.  Sums are doubles.
     """
-    kinds = {"mean": rolling_mean, "sum": rolling_sum, "std": rolling_std}
-    return df.withColumns(
-        {name: kinds[kind](c, window, rows, max(least, 2) if kind == "std" else max(least, 1)) for name, (kind, c, rows, least) in wanted.items()}
-    )
+    spread = {c for kind, c, _, _ in wanted.values() if kind == "std"}
+    frames: dict[str, set[int]] = {}
+    for _, c, rows, _ in wanted.values():
+        frames.setdefault(c, set()).add(rows)
+    order = {c: k for k, c in enumerate(frames)}
+
+    def parts(c: str, of: str) -> list[str]:
+        """Columns of a run or frame: values in it, their sum and, for deviations, their squares about their mean."""
+        return [f"_{part}_{of}_{order[c]}" for part in (("n", "s", "q") if c in spread else ("n", "s"))]
+
+    ones = {}
+    for c in frames:
+        x = F.col(c).cast("double")
+        # the squares of one value about itself: zero, undefined if the value is not finite
+        first = [x.isNotNull().cast("int"), F.coalesce(x, F.lit(0.0)), F.coalesce(x - x, F.lit(0.0))]
+        ones |= dict(zip(parts(c, "run"), first, strict=False))
+    out, length, held = df.withColumns(ones), 1, set(ones)
+    while any(rows >= length for of in frames.values() for rows in of):
+        lagged, merged = {}, {}
+        for c, of in frames.items():
+            run = parts(c, "run")
+
+            def back(rows: int, c: str = c, run: list[str] = run) -> list[str]:
+                """The run that ends so many rows before; an empty one before the first row."""
+                if rows == 0:
+                    return run
+                names = parts(c, f"b{rows}")
+                zeros = (0, 0.0, 0.0)
+                lagged.update({n: F.lag(r, rows, zero).over(window) for n, r, zero in zip(names, run, zeros, strict=False)})
+                return names
+
+            for rows in of:  # the newest rows % length rows of the frame are put together already
+                newest, more = rows % length, rows // length % RADIX
+                if more:
+                    frame = parts(c, f"f{rows}")
+                    pieces = [back(newest + k * length) for k in range(more)]
+                    merged |= dict(zip(frame, _together([frame, *pieces] if newest else pieces), strict=True))
+            if max(of) >= RADIX * length:
+                merged |= dict(zip(run, _together([back(k * length) for k in range(RADIX)]), strict=True))
+        out = out.withColumns(lagged).withColumns(merged).drop(*lagged)
+        held |= set(merged)
+        length *= RADIX
+    made = {}
+    for name, (kind, c, rows, least) in wanted.items():
+        n, s, *q = (F.col(x) for x in parts(c, f"f{rows}"))
+        result = root(div(q[0], n - 1)) if kind == "std" else div(s, n) if kind == "mean" else s
+        made[name] = F.when(n >= max(least, 2 if kind == "std" else 1), result)
+    return out.withColumns(made).drop(*held)
+
+
+def _together(pieces: Sequence[Sequence[str]]) -> list[Column]:
+    """Count, sum and squares about the mean of rows that are counted in several pieces."""
+    n, s = (" + ".join(p[k] for p in pieces) for k in (0, 1))
+    made = [n, s]
+    if len(pieces[0]) > 2:
+        mean = f"try_divide({s}, {n})"
+        apart = [f"coalesce({p[0]} * power(try_divide({p[1]}, {p[0]}) - {mean}, 2), 0)" for p in pieces]
+        made.append(" + ".join([*(p[2] for p in pieces), *(apart if len(pieces) > 1 else [])]))
+    return [F.expr(e) for e in made]
 
 
 def with_expanding(df: DataFrame, series: Series, wanted: dict[str, tuple[str, float | None]]) -> DataFrame:

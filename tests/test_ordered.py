@@ -140,3 +140,21 @@ def test_rolling_frames_survive_nan_and_spikes(spark):
     series = got["x"].rolling(30, min_periods=10).apply(lambda v: np.std(v, ddof=1))
     np.testing.assert_allclose(got["dev"][40:], series[40:], rtol=1e-9)
     assert got["mean"][40:].notna().all()
+
+
+def test_rolling_frames_of_every_length(spark):
+    """Frames are put together from runs of 1, 4, 16 and 64 rows: every digit of a length occurs, with nulls and all kinds."""
+    rng = np.random.default_rng(3)
+    x = [None if rng.random() < 0.2 else float(v) for v in rng.normal(100, 3, 300)]
+    df = spark.createDataFrame([(k % 2, k, v) for k, v in enumerate(x)], "g int, k int, x double")
+    window = Window.partitionBy("g").orderBy("k")
+    lengths = [1, 2, 3, 4, 5, 7, 15, 16, 17, 30, 63, 64, 120, 127]
+    wanted = {f"{kind}{n}": (kind, "x", n, max(1, n // 3)) for n in lengths for kind in ("mean", "std", "sum")}
+    got = rolling_frames(df, window, wanted).toPandas().sort_values(["g", "k"])
+    assert set(got.columns) == {"g", "k", "x", *wanted}
+    for _, g in got.groupby("g"):
+        values = g["x"].astype(float).reset_index(drop=True)
+        for name, (kind, _, n, least) in wanted.items():
+            frames = values.rolling(n, min_periods=min(n, max(least, 2)) if kind == "std" else least)
+            expected = {"mean": frames.mean, "std": frames.std, "sum": frames.sum}[kind]()
+            np.testing.assert_allclose(g[name].astype(float), expected, rtol=1e-9, atol=1e-9, err_msg=name)
