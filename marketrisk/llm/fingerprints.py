@@ -11,17 +11,17 @@ fingerprint depends on its text alone, and equal texts have equal fingerprints e
 
 Defined cases: a null or empty text has the empty fingerprint, at likeness 1 to another empty one and 0 to all others.
 A text with no selected window (short or monotonous) has its distinct windows of eight bytes as features.  Null ids
-come last in the order of ids; repeated ids are ordered by text.  An empty table gives an empty table.
+come last in the order of ids; rows of one id, or without one, are ordered by the hash of their text.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketrisk.llm.shared import materialised, text_or_empty
@@ -149,25 +149,43 @@ def edited(text: str, following: str) -> str:
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """Rows with ``_block`` and ``_tail``: blocks of neighbouring ids, falling; each ends with a copy of the next one's first id.
+    """Rows with ``_block`` and ``_tail``: blocks of neighbours by falling id and text hash; each ends with a copy of the next one's first row.
 
-    The blocks' bounds and first ids are one number per block, not per row; texts are shuffled once.
+    The blocks' bounds and first rows' keys are one row per block, not per row; texts are shuffled once.  An id that many rows share
+    is many bounds at once: its rows, like those without an id, are spread over as many blocks along their hashes.
     """
     levels = [k / blocks for k in range(1, blocks)]
     bounds = docs.agg(F.percentile_approx("doc_id", levels or [0.5], max(10_000, 20 * blocks)).alias("_bounds"))
     step = max(1, int(blocks**0.5))
-    # bounds at or below the id: first among every step-th one, then among the step that follows
-    coarse = F.size(F.filter("_coarse", lambda x: x <= F.col("doc_id")))
-    fine = F.filter(F.slice("_bounds", F.greatest((coarse - 1) * step + 1, F.lit(1)), step), lambda x: x <= F.col("doc_id"))
-    below = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(fine))
+
+    def bounds_with(test: Callable[[Column], Column]) -> Column:
+        """How many bounds pass: first among every step-th one, then among the step that follows."""
+        coarse = F.size(F.filter("_coarse", test))
+        fine = F.filter(F.slice("_bounds", F.greatest((coarse - 1) * step + 1, F.lit(1)), step), test)
+        return F.coalesce(F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(fine)), F.lit(0))
+
+    def along_hash(count: Column) -> Column:
+        """0 to count - 1, rising with the hash."""
+        return F.shiftright((F.shiftright("_hash", 40) + F.lit(1 << 23)) * count, 24)
+
     bounds = bounds.select("_bounds", F.filter("_bounds", lambda x, i: i % step == 0).alias("_coarse"))
-    block = F.when(F.col("doc_id").isNull(), blocks + 1).otherwise(blocks - F.coalesce(below, F.lit(0)))
-    placed = docs.join(F.broadcast(bounds)).withColumn("_block", block.cast("int")).drop("_bounds", "_coarse")
-    firsts = placed.groupBy("_block").agg(F.max("doc_id").alias("_first"))
+    upto, under = bounds_with(lambda x: x <= F.col("doc_id")), bounds_with(lambda x: x < F.col("doc_id"))
+    placed = docs.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(bounds))
+    placed = placed.withColumns({"_upto": upto, "_under": under})
+    with_id = blocks - F.col("_upto") + along_hash(F.greatest(F.col("_upto") - F.col("_under"), F.lit(1)))
+    block = F.when(F.col("doc_id").isNull(), blocks + 1 + along_hash(F.lit(blocks))).otherwise(with_id)
+    placed = placed.withColumn("_block", block.cast("int")).drop("_bounds", "_coarse", "_upto", "_under")
+    # the greatest id and, among equal ones, the least hash
+    firsts = placed.groupBy("_block").agg(F.max(F.struct("doc_id", F.bitwise_not("_hash").alias("not"))).alias("_first"))
     along = Window.orderBy("_block")
     end = F.max("_block").over(Window.partitionBy())
-    tails = firsts.select("_first", F.coalesce(F.lag("_block").over(along), end).alias("_of"))
-    marked = placed.join(F.broadcast(materialised(tails)), F.col("doc_id").eqNullSafe(F.col("_first")), "left")
+    tails = firsts.select(
+        F.col("_first.doc_id").alias("_first_id"),
+        F.bitwise_not("_first.not").alias("_first_hash"),
+        F.coalesce(F.lag("_block").over(along), end).alias("_of"),
+    )
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_hash") == F.col("_first_hash"))
+    marked = placed.join(F.broadcast(materialised(tails)), is_first, "left")
     own = F.struct(F.col("_block").alias("block"), F.lit(False).alias("tail"))
     copy = F.struct(F.col("_of").alias("block"), F.lit(True).alias("tail"))
     both = F.when(F.col("_of").isNull(), F.array(own)).otherwise(F.array(own, copy))

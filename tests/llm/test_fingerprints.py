@@ -63,3 +63,22 @@ def test_likeness():
     same, other, half = (fp.fingerprints([t])[0] for t in (a, b, a[:2000] + b[2000:]))
     assert fp.likeness(same, same) == 1.0
     assert fp.likeness(same, other) < 0.1 < 0.3 < fp.likeness(same, half) < 0.7
+
+
+def test_shared_and_missing_ids_are_spread_over_blocks(spark):
+    """A third of the rows has no id, a third has the same: both are cut along their hashes, and neighbours stay neighbours."""
+    texts = [f"text number {k * k} of many" for k in range(600)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 10 * k - 3000, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = fp.in_blocks(docs, 24).groupBy("_block").count().toPandas()["count"]
+    assert len(sizes) > 30 and sizes.max() < 60
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    assert sorted((tuple(r) for r in fp.compared(docs).collect()), key=str) == brute(rows)
+
+
+def test_every_row_without_id(spark):
+    docs = spark.createDataFrame([(None, f"{k} is a text") for k in range(50)], "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    rows = sorted(((None, t) for t in hashes), key=lambda r: hashes[r[1]])
+    assert sorted((tuple(r) for r in fp.compared(docs).collect()), key=str) == brute(rows)
