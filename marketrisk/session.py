@@ -18,6 +18,8 @@ def build_session(name: str = "marketrisk", cpus: str | None = None) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Longer methods are never compiled by the JVM: operators of long plans are then generated in pieces.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call-site capture costs a Python stack walk per column expression.
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
