@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,66 +105,91 @@ def rolling_frames(df: DataFrame, window: WindowSpec, wanted: dict[str, tuple[st
     ``wanted`` maps a new name to (kind, column, rows, least), kind being mean, sum or std.  Runs of 1, 4, 16, ... rows
     are put together from four runs a quarter as long, and a frame from the runs its length is made of.  Nothing is
     ever taken away: no value outside a frame, however large or undefined, touches its result.  Sums are doubles.
+
+    Spark sorts and numbers the window's rows; their values go through numpy batch by batch, each led by the last rows
+    before it, so a task holds one batch.  The result is no longer partitioned as the window is: further windows over the same rows
+    belong before this call.
     """
+    columns = list(dict.fromkeys(c for _, c, _, _ in wanted.values()))
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in wanted])
+    # not deterministic: a filter moved below it would take rows out of the frames
+    framed = F.arrow_udf(_frames_of_batches(columns, wanted), kind).asNondeterministic()
+    numbered = df.withColumn("_at", F.row_number().over(window))
+    found = numbered.withColumn("_f", framed("_at", *[F.col(c).cast("double") for c in columns]))
+    return found.withColumns({n: F.col("_f").getField(n) for n in wanted}).drop("_at", "_f")
+
+
+def _frames_of_batches(columns: list[str], wanted: dict[str, tuple[str, str, int, int]]):
+    """The task function of :func:`rolling_frames`: batches of row numbers and values in, structs of frames out."""
     spread = {c for kind, c, _, _ in wanted.values() if kind == "std"}
-    frames: dict[str, set[int]] = {}
-    for _, c, rows, _ in wanted.values():
-        frames.setdefault(c, set()).add(rows)
-    order = {c: k for k, c in enumerate(frames)}
-
-    def parts(c: str, of: str) -> list[str]:
-        """Columns of a run or frame: values in it, their sum and, for deviations, their squares about their mean."""
-        return [f"_{part}_{of}_{order[c]}" for part in (("n", "s", "q") if c in spread else ("n", "s"))]
-
-    ones = {}
-    for c in frames:
-        x = F.col(c).cast("double")
+    lengths = {c: sorted({rows for _, of, rows, _ in wanted.values() if of == c}) for c in columns}
+    reach = max(rows for _, _, rows, _ in wanted.values()) - 1
+
+    def together(pieces):
+        """Count, sum and squares about the mean of rows that are counted in several pieces."""
+        n, s = sum(p[0] for p in pieces), sum(p[1] for p in pieces)
+        if len(pieces[0]) == 2 or len(pieces) == 1:
+            return [n, s, *pieces[0][2:]]
+        mean, q = s / n, sum(p[2] for p in pieces)
+        for p in pieces:
+            apart = p[1] / p[0] - mean
+            q = q + np.where(p[0] > 0, p[0] * apart * apart, 0.0)
+        return [n, s, q]
+
+    def frames_of(x, known, starts, of, deviations):
+        """Count, sum and squares about the mean of the frames of one column, by their lengths.
+
+        ``starts`` tells the rows that lie too near to a window's start to have a row so many before.
+        """
+        x = np.where(known, x, 0.0)
         # the squares of one value about itself: zero, undefined if the value is not finite
-        first = [x.isNotNull().cast("int"), F.coalesce(x, F.lit(0.0)), F.coalesce(x - x, F.lit(0.0))]
-        ones |= dict(zip(parts(c, "run"), first, strict=False))
-    out, length, held = df.withColumns(ones), 1, set(ones)
-    while any(rows >= length for of in frames.values() for rows in of):
-        lagged, merged = {}, {}
-        for c, of in frames.items():
-            run = parts(c, "run")
-
-            def back(rows: int, c: str = c, run: list[str] = run) -> list[str]:
-                """The run that ends so many rows before; an empty one before the first row."""
-                if rows == 0:
-                    return run
-                names = parts(c, f"b{rows}")
-                zeros = (0, 0.0, 0.0)
-                lagged.update({n: F.lag(r, rows, zero).over(window) for n, r, zero in zip(names, run, zeros, strict=False)})
-                return names
-
+        run, made, length = [known.astype("float64"), x, *([x - x] if deviations else [])], {}, 1
+
+        def back(rows):
+            """The run that ends so many rows before; an empty one before the first row."""
+            if rows == 0:
+                return run
+            out, without = [np.empty_like(part) for part in run], starts(rows)
+            for new, part in zip(out, run, strict=True):
+                new[rows:] = part[:-rows]
+                new[:rows] = 0.0
+                new[without] = 0.0
+            return out
+
+        while of[-1] >= length:
             for rows in of:  # the newest rows % length rows of the frame are put together already
                 newest, more = rows % length, rows // length % RADIX
                 if more:
-                    frame = parts(c, f"f{rows}")
                     pieces = [back(newest + k * length) for k in range(more)]
-                    merged |= dict(zip(frame, _together([frame, *pieces] if newest else pieces), strict=True))
-            if max(of) >= RADIX * length:
-                merged |= dict(zip(run, _together([back(k * length) for k in range(RADIX)]), strict=True))
-        out = out.withColumns(lagged).withColumns(merged).drop(*lagged)
-        held |= set(merged)
-        length *= RADIX
-    made = {}
-    for name, (kind, c, rows, least) in wanted.items():
-        n, s, *q = (F.col(x) for x in parts(c, f"f{rows}"))
-        result = root(div(q[0], n - 1)) if kind == "std" else div(s, n) if kind == "mean" else s
-        made[name] = F.when(n >= max(least, 2 if kind == "std" else 1), result)
-    return out.withColumns(made).drop(*held)
-
-
-def _together(pieces: Sequence[Sequence[str]]) -> list[Column]:
-    """Count, sum and squares about the mean of rows that are counted in several pieces."""
-    n, s = (" + ".join(p[k] for p in pieces) for k in (0, 1))
-    made = [n, s]
-    if len(pieces[0]) > 2:
-        mean = f"try_divide({s}, {n})"
-        apart = [f"coalesce({p[0]} * power(try_divide({p[1]}, {p[0]}) - {mean}, 2), 0)" for p in pieces]
-        made.append(" + ".join([*(p[2] for p in pieces), *(apart if len(pieces) > 1 else [])]))
-    return [F.expr(e) for e in made]
+                    made[rows] = together([made[rows], *pieces] if newest else pieces)
+            if of[-1] >= RADIX * length:
+                run = together([back(k * length) for k in range(RADIX)])
+            length *= RADIX
+        return made
+
+    def batches(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        before = None  # row numbers, values and which are known of the last rows before the batch
+        for at, *values in parts:
+            now = [at.to_numpy(zero_copy_only=False).astype("int64")]
+            now += [v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in values]
+            now += [v.is_valid().to_numpy(zero_copy_only=False) for v in values]
+            led = now if before is None else [np.concatenate(p) for p in zip(before, now, strict=True)]
+            lead, at = len(led[0]) - len(now[0]), led[0]
+            if ((at[1:] != at[:-1] + 1) & (at[1:] != 1)).any():
+                raise ValueError("rows of a window came out of order")
+            starts = cache(lambda rows, at=at: np.flatnonzero(at <= rows))
+            found, arrays = {}, []
+            with np.errstate(all="ignore"):
+                for k, c in enumerate(columns):
+                    found[c] = frames_of(led[1 + k], led[1 + len(columns) + k], starts, lengths[c], c in spread)
+                for kind, c, rows, least in wanted.values():
+                    n, s, *q = (part[lead:] for part in found[c][rows])
+                    result = np.sqrt(q[0] / (n - 1)) if kind == "std" else s / n if kind == "mean" else s
+                    arrays.append(pa.array(result, mask=n < max(least, 2 if kind == "std" else 1)))
+            before = [p[max(0, len(p) - reach) :] for p in led]
+            yield pa.StructArray.from_arrays(arrays, list(wanted))
+
+    return batches
 
 
 def with_expanding(df: DataFrame, series: Series, wanted: dict[str, tuple[str, float | None]]) -> DataFrame:

@@ -158,3 +158,27 @@ def test_rolling_frames_of_every_length(spark):
             frames = values.rolling(n, min_periods=min(n, max(least, 2)) if kind == "std" else least)
             expected = {"mean": frames.mean, "std": frames.std, "sum": frames.sum}[kind]()
             np.testing.assert_allclose(g[name].astype(float), expected, rtol=1e-9, atol=1e-9, err_msg=name)
+
+
+def test_rolling_frames_across_batches_in_one_window(spark):
+    """Batches cut groups anywhere, filters stay behind the frames, and one window numbers the rows."""
+    df = spark.range(900).select(
+        (F.col("id") % 4).alias("g"), "id", F.when(F.col("id") % 7 != 0, F.sin(F.col("id") * 12.9)).alias("x")
+    )
+    wanted = {"m": ("mean", "x", 30, 10), "s": ("std", "x", 70, 10), "t": ("sum", "x", 120, 40)}
+    out = rolling_frames(df, Window.partitionBy("g").orderBy("id"), wanted).filter("id >= 100")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = out.toPandas().sort_values(["g", "id"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = df.toPandas().sort_values(["g", "id"])
+    x = pdf.groupby("g")["x"]
+    late = (pdf["id"] >= 100).to_numpy()
+    for name, expected in {
+        "m": x.transform(lambda v: v.rolling(30, 10).mean()),
+        "s": x.transform(lambda v: v.rolling(70, 10).std()),
+        "t": x.transform(lambda v: v.rolling(120, 40).sum()),
+    }.items():
+        np.testing.assert_allclose(got[name].astype(float), expected[late], rtol=1e-9, atol=1e-9)
