@@ -50,7 +50,7 @@ def quotes_minute(spark, sf):
 
 
 def quotes_daily(spark, sf):
-    minutes, series = tb.ticks(spark, sf)
+    minutes, series, _ = tb.kept_ticks(spark, sf)
     minutes = minutes.withColumn("is_last_hour", F.col("minute_of_session") > F.col("session_rows") - 60)
     return rounded(micro.microstructure_daily(minutes, series), 7)
 

@@ -62,7 +62,7 @@ def with_mid_dynamics(df: DataFrame, series: Series) -> DataFrame:
     )
 
 
-def with_rolling_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
+def rolling_quotes(look_backs: Sequence[int] = LOOK_BACKS) -> dict[str, tuple[str, str, int, int]]:
     """30-minute mid deviation; rolling spread level and deviation, imbalance and quote intensity.
 
     Windows need at least a third of their rows (ten of thirty for the mid deviation).
@@ -74,7 +74,12 @@ def with_rolling_quotes(df: DataFrame, series: Series, look_backs: Sequence[int]
         wanted[f"iex_spread_vol_{n}m"] = ("std", "iex_spread_rel", n, least)
         wanted[f"iex_imbalance_ma_{n}m"] = ("mean", "iex_depth_imbalance", n, least)
         wanted[f"iex_quote_intensity_{n}m"] = ("sum", "_mid_step", n, least)
-    return rolling_frames(df, series.minutes(), wanted).drop("_mid_step")
+    return wanted
+
+
+def with_rolling_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
+    """The columns of :func:`rolling_quotes`."""
+    return rolling_frames(df, series.minutes(), rolling_quotes(look_backs)).drop("_mid_step")
 
 
 def minute_quotes(df: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
@@ -117,12 +122,12 @@ def extra_aggs(series: Series) -> list[Column]:
 def microstructure_daily(minutes: DataFrame, series: Series, look_backs: Sequence[int] = LOOK_BACKS) -> DataFrame:
     """One row per session: one aggregation, and a second pass for the exact quantiles that it has bracketed.
 
-    The minute columns are checkpointed: their frames cost more than reading them twice.
+    The second pass builds the columns it needs anew, from the narrow minutes: writing all of them out costs more.  Keep
+    minutes that are dear to build (see :func:`marketrisk.plans.tables.kept_ticks`).
     """
     if "is_last_hour" not in minutes.columns:
         minutes = minutes.withColumn("is_last_hour", F.lit(None).cast("boolean"))
     rows = owned(minute_quotes(minutes, series, look_backs), series)
-    rows = checkpointed(rows.select(*series.by_session, series.order, "is_last_hour", *prefixed(rows, "iex_")))
     aggs, quantiles = daily_aggs(prefixed(rows, "iex_"))
     daily = rows.groupBy(*series.by_session).agg(*aggs, *extra_aggs(series), *sketch_aggs(quantiles, WIDE_ACCURACY))
     return with_quantiles(daily, rows, series, quantiles)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketrisk.functions.lineage import checkpointed
 from marketrisk.functions.ordered import blocked, positioned
 from marketrisk.series import Series
 
@@ -104,6 +105,19 @@ def ticks(
     return bars(cut), series
 
 
+def kept_ticks(
+    spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (), look_back: int = 120
+) -> tuple[DataFrame, Series, DataFrame]:
+    """:func:`ticks` and, third, :func:`sessions_of_ticks`, for jobs that look at the minutes several times.
+
+    The positioned lines are checkpointed, still narrow: no further look numbers them anew, and those that need no
+    look-back read them without a shuffle.
+    """
+    lines = checkpointed(_positioned_lines(spark, sf_dir, keys))
+    cut, series = blocked(lines, Series(keys=keys), look_back)
+    return bars(cut), series, bars(lines)
+
+
 def sessions_of_ticks(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Minute bars with exact positions and session sizes, not cut into blocks."""
     return bars(_positioned_lines(spark, sf_dir, keys))

@@ -182,3 +182,27 @@ def test_rolling_frames_across_batches_in_one_window(spark):
         "t": x.transform(lambda v: v.rolling(120, 40).sum()),
     }.items():
         np.testing.assert_allclose(got[name].astype(float), expected[late], rtol=1e-9, atol=1e-9)
+
+
+def test_quantiles_in_place_of_a_large_session_need_no_further_look(spark, monkeypatch):
+    """A session of many values between its edges is decided by one look; NaN is the largest value, keys may be several."""
+
+    def further(*args):
+        raise AssertionError("another look at the rows")
+
+    monkeypatch.setattr(ordered, "quantiles_between", further)
+    df = spark.range(40_000).select(
+        F.lit("a").alias("symbol"),
+        (F.col("id") % 2).alias("day"),
+        (F.col("id") * 7919 % 10_007 / 3).alias("x"),
+        F.when(F.col("id") % 5 < 2, F.lit(float("nan"))).otherwise(F.col("id") % 9).alias("y"),
+        F.col("id").alias("clock"),
+    )
+    wanted = {"a": ("x", 0.75), "b": ("x", 0.3), "c": ("y", 0.25), "d": ("y", 0.9)}
+    sketches = df.groupBy("symbol", "day").agg(*ordered.sketch_aggs(wanted, 100))
+    got = ordered.quantiles_in_place(df, sketches, ["symbol", "day"], wanted, "clock").toPandas().sort_values("day")
+    pdf = df.toPandas().groupby("day")
+    np.testing.assert_allclose(got["a"], pdf["x"].quantile(0.75), atol=1e-12)
+    np.testing.assert_allclose(got["b"], pdf["x"].quantile(0.3), atol=1e-12)
+    np.testing.assert_allclose(got["c"], pdf["y"].apply(lambda v: np.sort(v)[round(0.25 * len(v))]), atol=1e-12)
+    assert got["d"].isna().all()
