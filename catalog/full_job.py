@@ -12,8 +12,8 @@ from marketrisk.plans import tables as tb
 
 
 def features(spark, sf):
-    minutes, series = tb.ticks(spark, sf)
-    daily = checkpointed(ft.session_table(minutes, series)).withColumns(
+    minutes, series, bars = tb.kept_ticks(spark, sf)
+    daily = checkpointed(ft.session_table(minutes, series, bars=bars)).withColumns(
         {"is_holiday": tb.is_holiday(), "is_opx": tb.is_opx()}
     )
     return ft.daily_features(daily, series.unblocked(), (0.5,))

@@ -24,11 +24,15 @@ WINDOWS = (5, 10, 20, 60)
 BUCKETS = 10
 
 
-def with_minute_liquidity(df: DataFrame, series: Series, ret: str = "minute_return") -> DataFrame:
-    """Dollar volume, Amihud ratio, volume rate, trade intensity and a price-impact proxy."""
+#: Trade intensity, for :func:`marketrisk.functions.frames.rolling_frames`.
+INTENSITY = {"liq_trade_intensity": ("std", "ohlcv_volume", 30, 10)}
+
+
+def with_impact(df: DataFrame, ret: str = "minute_return") -> DataFrame:
+    """Dollar volume, Amihud ratio, volume rate and a price-impact proxy."""
     volume, r = F.col("ohlcv_volume"), F.abs(F.col(ret))
     dollars = volume * F.col("ohlcv_vwap")
-    out = df.withColumns(
+    return df.withColumns(
         {
             "liq_dollar_volume": dollars,
             "liq_log_dollar_volume": ln(dollars + 1),
@@ -37,7 +41,11 @@ def with_minute_liquidity(df: DataFrame, series: Series, ret: str = "minute_retu
             "liq_kyle_lambda": div(r, root(volume) + 1),
         }
     )
-    return rolling_frames(out, series.minutes(), {"liq_trade_intensity": ("std", "ohlcv_volume", 30, 10)})
+
+
+def with_minute_liquidity(df: DataFrame, series: Series, ret: str = "minute_return") -> DataFrame:
+    """Dollar volume, Amihud ratio, volume rate, trade intensity and a price-impact proxy."""
+    return rolling_frames(with_impact(df, ret), series.minutes(), INTENSITY)
 
 
 def daily_aggs() -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketrisk.functions.columns import prefixed, total
+from marketrisk.functions.frames import rolling_frames
 from marketrisk.functions.lineage import checkpointed
 from marketrisk.functions.ordered import WIDE_ACCURACY, sketch_aggs
 from marketrisk.heads.classifiers import FEATURES, assembled, elastic_net_logistic, random_forest
@@ -23,15 +24,24 @@ FEATURE_PREFIXES = ("vr_", "iex_", "path_", "liq_", "macro_", "time_", "reg_", "
 
 
 def minute_columns(minutes: DataFrame, series: Series) -> DataFrame:
-    """Every minute-level column the families aggregate, on one partitioning of the minute table."""
+    """Every minute-level column the families aggregate, on one partitioning of the minute table.
+
+    The rolling columns of both minute families come last, together: rows are no longer partitioned behind them.
+    """
     out = intraday.with_minute_returns(minutes, series)
     out = path.with_sign_flips(realized.with_lagged_abs(out, series), series)
-    out = quotes.minute_quotes(liquidity.with_minute_liquidity(out, series), series)
-    return out
+    out = quotes.with_depth(quotes.with_spreads(liquidity.with_impact(out)))
+    out = quotes.with_mid_dynamics(out, series)
+    return rolling_frames(out, series.minutes(), liquidity.INTENSITY | quotes.rolling_quotes()).drop("_mid_step")
 
 
-def session_table(minutes: DataFrame, series: Series, size: str = "session_rows") -> DataFrame:
-    """All per-session aggregates in one aggregation, plus the two that need a second look."""
+def session_table(
+    minutes: DataFrame, series: Series, size: str = "session_rows", bars: DataFrame | None = None
+) -> DataFrame:
+    """All per-session aggregates in one aggregation, plus the two that need a second look.
+
+    ``bars`` are the same minutes without look-back copies, if they are at hand.
+    """
     if "is_last_hour" not in minutes.columns:
         minutes = minutes.withColumn("is_last_hour", F.col(series.order) > F.col(size) - 60)
     rows = owned(minute_columns(minutes, series), series)
@@ -48,8 +58,9 @@ def session_table(minutes: DataFrame, series: Series, size: str = "session_rows"
         *sketch_aggs(quantiles, WIDE_ACCURACY),
     )
     daily = quotes.with_quantiles(daily, rows, series, quantiles)
-    bars = owned(minutes, series)
-    profile = liquidity.volume_profile(bars, series, session_minutes=F.col(size))
+    bars = owned(minutes, series) if bars is None else bars
+    # one row per session: its levels meet the minutes without a shuffle of these
+    profile = checkpointed(liquidity.volume_profile(bars, series, session_minutes=F.col(size)))
     daily = daily.join(liquidity.vwap_deviation(bars, series, profile), series.by_session, "left")
     daily = daily.withColumns(
         {
